@@ -18,9 +18,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 P2_SQL = """
 with given as (
-  select session_id, lower(trim(speaker, E' \\t\\n\\r\\f\\v')) as speaker, cast(round(start_s * 1000) as bigint) as a, cast(round(end_s * 1000) as bigint) as b
+  select session_id, lower(trim(speaker, E' \\t\\n\\r\\f\\v')) as speaker, case when abs(start_s) < 1e9 then try_cast(round(start_s * 1000) as bigint) end as a,
+    case when abs(end_s) < 1e9 then try_cast(round(end_s * 1000) as bigint) end as b
   from transcript_turns
-  where session_id is not null and abs(start_s) < 1e9 and abs(end_s) < 1e9),
+  where session_id is not null),
 usable as (select * from given where a < b and speaker <> ''),
 opened as (select *, coalesce(max(b) over (partition by session_id, speaker order by a, b rows between unbounded preceding and 1 preceding) < a, true) as opens from usable),
 numbered as (select *, sum(opens::int) over (partition by session_id, speaker order by a, b rows unbounded preceding) as n from opened),
