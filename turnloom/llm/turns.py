@@ -111,31 +111,38 @@ def train(boundaries: np.ndarray, same: np.ndarray, ridge: float = 1.0, steps: i
     return w
 
 
-def best_roles(role: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """Roles (0 or 1) of the best segmentation; -1 in ``role`` is open; ``score[i]`` speaks for i being of one turn with
-    i - 1. -1 everywhere stays: without one certain line no role can be told."""
-    role = role.copy()
-    known = np.flatnonzero(role >= 0)
-    if not len(known):
+def best_roles(role: np.ndarray, score: np.ndarray, opens: np.ndarray, ends: bool) -> np.ndarray:
+    """Roles (0 or 1) of the best segmentation of each group; -1 in ``role`` is open, ``opens`` marks a group's first item.
+
+    ``score[i]`` speaks for i being of one turn with i - 1. Open items between two certain ones are decoded exactly;
+    those at an end of their group stay open unless ``ends``, and always where nothing in the group is certain.
+    """
+    unsure = role < 0
+    if not unsure.any():
         return role
-    for at, after in zip([-1, *known.tolist()], [*known.tolist(), len(role)], strict=True):
-        if after - at < 2:
+    role = role.copy()
+    fresh = np.flatnonzero(unsure & (opens | np.concatenate([[True], ~unsure[:-1]])))
+    stop = np.flatnonzero(unsure & np.concatenate([opens[1:] | ~unsure[1:], [True]]))
+    for a, b in zip(fresh.tolist(), stop.tolist(), strict=True):  # runs of open items
+        left = int(role[a - 1]) if not opens[a] else -1
+        right = int(role[b + 1]) if b + 1 < len(role) and not opens[b + 1] else -1
+        if (left < 0 or right < 0) and (not ends or left + right == -2):
             continue
-        best = np.array([0.0, 0.0]) if at < 0 else np.where(np.arange(2) == role[at], 0.0, -np.inf)
+        best = np.zeros(2) if left < 0 else np.where(np.arange(2) == left, 0.0, -np.inf)
         back = []
-        last = min(after, len(role) - 1)
-        for i in range(at + 1, last + 1):
-            if i == 0:
+        for i in range(a, b + 2 if right >= 0 else b + 1):
+            if left < 0 and i == a:
                 continue
             stay, switch = best + score[i], best[::-1]
             back.append(np.where(stay >= switch, np.arange(2), 1 - np.arange(2)))
             best = np.maximum(stay, switch)
-        y = int(role[after]) if after < len(role) else int(best.argmax())
+        y = right if right >= 0 else int(best.argmax())
         path = [y]
-        for b in reversed(back):
-            y = int(b[y])
+        for step in reversed(back):
+            y = int(step[y])
             path.append(y)
-        role[max(at, 0) : last + 1] = path[::-1]
+        path = path[::-1]
+        role[a : b + 1] = path[(left >= 0) :][: b + 1 - a]
     return role
 
 
@@ -161,15 +168,18 @@ def _items(lines: DataFrame, with_text: bool) -> DataFrame:
     )
 
 
-def _segment(items: pd.DataFrame, weights: np.ndarray) -> pd.DataFrame:
-    """Sorted items of one session to turns; open items join a turn or (if nothing is certain) stay open."""
+def _segment(items: pd.DataFrame, opens: np.ndarray, weights: np.ndarray, ends: bool) -> tuple[pd.DataFrame, np.ndarray]:
+    """Sorted items of whole groups to turns, and the number of each turn's group. What can't be told stays open."""
     role = items["role"].to_numpy()
     if (role < 0).any():
-        f = _features(np.diff(items["t"], prepend=items["t"].iloc[0]), items["words_end"].shift(1, fill_value=0), items["ended"].shift(1, fill_value=False), items["words"], items["opener"])
-        f[1:, 1] = np.log1p(np.clip(items["t"].to_numpy()[1:] - items["t_end"].to_numpy()[:-1], 0, 60))
-        role = best_roles(role, f @ weights)
-    run = np.cumsum(np.concatenate([[True], (role[1:] != role[:-1]) | (role[1:] < 0) | items["closes"].to_numpy(bool)[:-1]]))
-    first, last = np.flatnonzero(np.diff(run, prepend=0)), np.flatnonzero(np.diff(run, append=run[-1] + 1))
+        pause = np.concatenate([[0.0], items["t"].to_numpy()[1:] - items["t_end"].to_numpy()[:-1]])
+        before = items[["words_end", "ended"]].shift(1)
+        f = _features(pause, before["words_end"].fillna(0), before["ended"].fillna(False).astype(float), items["words"], items["opener"])
+        role = best_roles(role, f @ weights, opens, ends)
+    cut = opens.copy()
+    cut[1:] |= (role[1:] != role[:-1]) | (role[1:] < 0) | items["closes"].to_numpy(bool)[:-1]
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(items)) - 1
     out = items.iloc[first].copy()
     out["role"] = role[first]
     for c in ("t_end", "words_end", "ended", "closes"):
@@ -178,57 +188,51 @@ def _segment(items: pd.DataFrame, weights: np.ndarray) -> pd.DataFrame:
     if items["text"].notna().any():
         texts = items["text"].fillna("").tolist()
         out["text"] = [" ".join(x for x in texts[a : b + 1] if x) for a, b in zip(first, last, strict=True)]
-    return out
+    return out, (np.cumsum(opens) - 1)[first]
 
 
-def _pieces(weights: np.ndarray):
-    """Settled turns (part -1) of each piece of time, and what lies at its borders (part = piece)."""
-
-    def piece(items: pd.DataFrame) -> list[pd.DataFrame]:
-        items = items[items["line_id"].diff().ne(0) | items["t"].diff().ne(0)]  # redelivered lines are neighbours
-        sure = np.flatnonzero(items["role"].to_numpy() >= 0)
-        if not len(sure):
-            return [items.assign(settled=False)]
-        a, b = sure[0], sure[-1]
-        turns = _segment(items.iloc[a : b + 1], weights)
-        settled = np.ones(len(turns), bool)
-        settled[[0, -1]] = False
-        if len(turns) > 1:  # settled turns lie behind the first one: it can't go on
-            turns["closes"] = [True] + [False] * (len(turns) - 1)
-        return [items.iloc[:a].assign(settled=False), turns.assign(settled=settled), items.iloc[b + 1 :].assign(settled=False)]
+def _by_group(keys: list[str], work):
+    """Runs ``work(items, opens)`` on whole groups of a sorted stream; the last group of a batch waits for the next."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: pd.DataFrame | None = None
         for frame in frames:
+            if not len(frame):
+                continue
             both = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
-            key = (both["session_id"] != both["session_id"].shift()) | (both["slot"] != both["slot"].shift())
-            cuts = np.flatnonzero(key.to_numpy())
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                for out in piece(both.iloc[x:y]):
-                    if len(out):
-                        yield out[[*_COLUMNS, "settled"]]
-            waiting = both.iloc[cuts[-1] :] if len(cuts) else both
+            opens = (both[keys] != both[keys].shift()).any(axis=1).to_numpy()
+            cut = int(np.flatnonzero(opens)[-1])
+            if cut:
+                yield work(both.iloc[:cut], opens[:cut])
+            waiting = both.iloc[cut:]
         if waiting is not None and len(waiting):
-            for out in piece(waiting):
-                if len(out):
-                    yield out[[*_COLUMNS, "settled"]]
+            yield work(waiting, np.arange(len(waiting)) == 0)
 
     return run
 
 
-def _sessions(weights: np.ndarray):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: pd.DataFrame | None = None
-        for frame in frames:
-            both = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
-            cuts = np.flatnonzero((both["session_id"] != both["session_id"].shift()).to_numpy())
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                yield _segment(both.iloc[x:y], weights)[_COLUMNS]
-            waiting = both.iloc[cuts[-1] :] if len(cuts) else both
-        if waiting is not None and len(waiting):
-            yield _segment(waiting, weights)[_COLUMNS]
+def _pieces(weights: np.ndarray):
+    """Turns of each piece of time; settled are those that have certain turns on both sides of them in the piece."""
 
-    return run
+    def work(items: pd.DataFrame, opens: np.ndarray) -> pd.DataFrame:
+        ids, t = items["line_id"].to_numpy(), items["t"].to_numpy()
+        keep = opens.copy()
+        keep[1:] |= (ids[1:] != ids[:-1]) | (t[1:] != t[:-1])  # redelivered lines are neighbours
+        turns, group = _segment(items[keep], opens[keep], weights, False)
+        sure = np.flatnonzero(turns["role"].to_numpy() >= 0)
+        settled, closes = np.zeros(len(turns), bool), np.zeros(len(turns), bool)
+        g = group[sure]
+        first, last = np.ones(len(g), bool), np.ones(len(g), bool)
+        first[1:] = last[:-1] = g[1:] != g[:-1]
+        settled[sure[~first & ~last]] = True
+        closes[sure[first & ~last]] = True  # settled turns lie behind it: it can't go on
+        return turns.assign(closes=closes, settled=settled)[[*_COLUMNS, "settled"]]
+
+    return _by_group(["session_id", "slot"], work)
+
+
+def _sessions(weights: np.ndarray):
+    return _by_group(["session_id"], lambda items, opens: _segment(items, opens, weights, True)[0][_COLUMNS])
 
 
 def fit(items: DataFrame, sample_rows: int = 20_000, slot_s: float = 600.0) -> np.ndarray:
