@@ -14,7 +14,7 @@ WINDOW_MODES = ["mid", "first"]
 WINDOW_SECONDS = [180, 300, 120, 60]
 EVENT_KINDS = ["turn_shift", "backchannel", "barge_in"]
 KIND_SPELLINGS = {
-    "turn_shift": "turn_shift", "turnshift": "turn_shift", "turn-shift": "turn_shift", "shift": "turn_shift",
+    "turn_shift": "turn_shift", "turnshift": "turn_shift", "turn-shift": "turn_shift", "shift": "turn_shift", "turn": "turn_shift",
     "backchannel": "backchannel", "back_channel": "backchannel", "back-channel": "backchannel", "bc": "backchannel",
     "barge_in": "barge_in", "bargein": "barge_in", "barge-in": "barge_in", "overlap": "barge_in",
 }

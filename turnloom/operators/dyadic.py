@@ -23,19 +23,20 @@ TOP = 20
 
 
 def dyadic_blocks(lo: str, hi: str, top: int = TOP) -> Column:
-    """Array of (level, start) structs: the canonical blocks of ``[lo, hi)``; empty where lo >= hi.
+    """Array of the canonical blocks of ``[lo, hi)``, each one number: start * 64 + 63 - level; empty where lo >= hi.
 
-    Level k takes part iff ceil(lo / 2^k) < floor(hi / 2^k): the left end if odd, the block before the right end if
-    that end is odd. At the top level all whole blocks count.
+    So numbers sort by start, larger blocks first. Level k takes part iff ceil(lo / 2^k) < floor(hi / 2^k), which needs
+    2^k <= hi - lo: the left end if odd, the block before the right end if that end is odd. At the top level all whole
+    blocks count.
     """
     up, down = f"(-shiftright(-{lo}, k))", f"shiftright({hi}, k)"
-    below = f"""flatten(transform(sequence(0, {top - 1}), k -> array(
-        if({up} < {down} and {up} & 1 = 1, named_struct('level', k, 'start', shiftleft({up}, k)), null),
-        if({up} < {down} and {down} & 1 = 1, named_struct('level', k, 'start', shiftleft({down} - 1, k)), null))))"""
+    code = "shiftleft({0}, k + 6) + (63 - k)"
+    below = f"""flatten(transform(sequence(0, least({top - 1}, cast(floor(log2({hi} - {lo})) as int))), k -> array(
+        if({up} < {down} and {up} & 1 = 1, {code.format(up)}, null),
+        if({up} < {down} and {down} & 1 = 1, {code.format(f"({down} - 1)")}, null))))"""
     first, last = f"(-shiftright(-{lo}, {top}))", f"shiftright({hi}, {top})"
-    at_top = f"""if({first} < {last}, transform(sequence({first}, {last} - 1), i ->
-        named_struct('level', {top}, 'start', shiftleft(i, {top}))), array())"""
-    return F.expr(f"filter(concat({below}, {at_top}), b -> b is not null)")
+    at_top = f"""if({first} < {last}, transform(sequence({first}, {last} - 1), i -> shiftleft(i, {top + 6}) + {63 - top}), array())"""
+    return F.expr(f"if({lo} < {hi}, array_compact(concat({below}, {at_top})), array())")
 
 
 def _runs(group: np.ndarray, start: np.ndarray, level: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,10 +73,10 @@ def _cells(keys: list[str], top: int):
 
     def emit(block: pa.RecordBatch) -> pa.RecordBatch:
         n = block.num_rows
-        cell = block.column(len(keys)).to_numpy()
-        level = block.column(len(keys) + 1).to_numpy().astype(np.int64)
-        start = block.column(len(keys) + 2).to_numpy()
-        group = np.concatenate([[0], np.cumsum(_changes(block, len(keys) + 1))]).astype(np.int64) if n else np.zeros(0, np.int64)
+        code = block.column(len(keys)).to_numpy()
+        start, level = code >> 6, 63 - (code & 63)
+        cell = start >> top
+        group = np.concatenate([[0], np.cumsum(_changes(block, len(keys), top))]).astype(np.int64) if n else np.zeros(0, np.int64)
         row, lo, hi = _runs(group, start, level, top)
         g = group[row]
         at_border = (lo == cell[row] << top) | (hi == (cell[row] + 1) << top)
@@ -101,7 +102,7 @@ def _cells(keys: list[str], top: int):
             if not batch.num_rows:
                 continue
             whole = _join([*waiting, batch])
-            turns = np.flatnonzero(_changes(whole, len(keys) + 1))
+            turns = np.flatnonzero(_changes(whole, len(keys), top))
             cut = int(turns[-1]) + 1 if len(turns) else 0
             if cut:
                 yield emit(whole.slice(0, cut))
@@ -118,11 +119,12 @@ def _join(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def _changes(block: pa.RecordBatch, width: int) -> np.ndarray:
-    """For each row but the first: does one of the first ``width`` columns differ from the row before?"""
+def _changes(block: pa.RecordBatch, width: int, top: int) -> np.ndarray:
+    """For each row but the first: does one of the ``width`` keys, or the cell, differ from the row before?"""
     import pyarrow.compute as pc
 
-    out = np.zeros(max(block.num_rows - 1, 0), bool)
+    cell = block.column(width).to_numpy() >> (top + 6)
+    out = cell[1:] != cell[:-1]
     for i in range(width):
         c = block.column(i)
         out |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
@@ -139,8 +141,7 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], lo: str = "from_ms",
     given = intervals.select(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)], F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"))
     names = [f"k{i}" for i in range(len(keys))]
     blocks = given.dropna().where("lo < hi").select(*names, F.explode(dyadic_blocks("lo", "hi", top)).alias("b"))
-    blocks = blocks.select(*names, F.expr(f"shiftright(b.start, {top})").alias("cell"), "b.level", "b.start").distinct()
-    ordered = blocks.repartition(*names, "cell").sortWithinPartitions(*names, "cell", "start", F.desc("level"))
+    ordered = blocks.distinct().repartition(*names, F.expr(f"shiftright(b, {top + 6})")).sortWithinPartitions(*names, "b")
     schema = ", ".join([*(f"{n} string" for n in names), "piece string, from_ms bigint, to_ms bigint"])
     pieces = spill(ordered.mapInArrow(_cells(names, top), schema), "cells")
 
