@@ -30,6 +30,9 @@ SAME_KINDS = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial
 #: Characters that are not seen but aren't of the category Cf: fillers and variation selectors, as ranges.
 UNSEEN = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF)]
 
+#: Bytes of text that are worked on at once (a longer text alone).
+SHARE_BYTES = 1 << 20
+
 _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00  # Hangul composition is by rule
 
 _tables: dict[str, tuple] = {}
@@ -189,7 +192,7 @@ def _code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[0], np.cumsum(starts)])
     bounds = before[offsets - offsets[0]]
     cps = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    return cps, np.repeat(np.arange(len(column)), np.diff(bounds))
+    return cps, np.repeat(np.arange(len(column), dtype=np.int32), np.diff(bounds))
 
 
 def _strings(cps: np.ndarray, row: np.ndarray, n: int, valid: pa.Array) -> pa.Array:
@@ -203,6 +206,16 @@ def _strings(cps: np.ndarray, row: np.ndarray, n: int, valid: pa.Array) -> pa.Ar
     return pc.if_else(valid, plain, pa.scalar(None, pa.large_string())).cast(pa.string())
 
 
+def _shares(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``SHARE_BYTES`` of text each: a code point takes some thirty times its byte on the way."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.flatnonzero(np.diff(np.cumsum(sizes) // SHARE_BYTES, prepend=0))
+    cuts = [0, *at[at > 0].tolist(), len(column)]
+    return ((a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
 def consistent_text(docs: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
     """``docs`` with ``out``: the consistent form of ``text``. Null stays null, empty stays empty; any length.
 
@@ -217,13 +230,13 @@ def consistent_text(docs: DataFrame, text: str = "text", out: str = "form") -> D
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(at)
-            cps, row = _code_points(column.fill_null(""))
-            cps, row = fold(cps, row)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _strings(cps, row, batch.num_rows, column.is_valid())], names=[*names, out])
+        for whole in batches:
+            for a, b in _shares(whole.column(at)):
+                batch = whole.slice(a, b - a)
+                column = batch.column(at)
+                cps, row = _code_points(column.fill_null(""))
+                cps, row = fold(cps, row)
+                yield pa.RecordBatch.from_arrays([*batch.columns, _strings(cps, row, batch.num_rows, column.is_valid())], names=[*names, out])
 
     return rest.mapInArrow(run, rest.withColumn(out, F.col(text)).schema)
 
