@@ -79,7 +79,7 @@ def read_lines(lines: DataFrame) -> DataFrame:
     label_counts = F.col("inside").isNotNull() & (F.col("named").isNull() | (F.col("named") == F.col("inside")))
     spoken = F.when(label_counts, F.regexp_replace(F.col("rest"), pattern, " ")).otherwise(F.col("rest"))
     spoken = F.regexp_replace(F.regexp_replace(spoken, _SPAN, " "), r"^\s*>>", " ")
-    alone = rf"(?iU)(?<![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]['’-]){HESITATION}(?![\p{{L}}\p{{N}}])(?!['’-][\p{{L}}\p{{N}}])(?:\.\.\.|…|,)?"
+    alone = rf"(?iU)(?=[UEAHM])(?<![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]['’-]){HESITATION}(?![\p{{L}}\p{{N}}])(?!['’-][\p{{L}}\p{{N}}])(?:\.\.\.|…|,)?"
     spoken = F.regexp_replace(spoken, alone, " ")
     spoken = F.regexp_replace(F.regexp_replace(spoken, r"\s+([,.?!;:])", "$1"), r"\s+", " ")
     spoken = F.regexp_replace(F.btrim(spoken), r"^[,;:.\-\s]+", "")
