@@ -1,9 +1,9 @@
 """Consensus of several annotators, by iteratively reweighted voting.
 
 Each round sums the annotators' weights by item and answer; asks for every vote how probable its answer is by the
-*other* votes of the item alone (leave one out: the weights are log-odds, so that is a softmax of their sums); smooths
-the mean per annotator and turns it into the new log-odds weight. An annotator who is right less often than chance gets
-a negative weight: the vote then counts against its answer. Votes of one item meet only in sums, never in one list.
+*other* votes of the item alone (leave one out: a softmax of their sums); smooths the mean per annotator and turns it
+into the new log-odds weight. An annotator who is right less often than chance gets a negative weight: the vote then
+counts against its answer. Votes of one item meet only in sums, never in one list.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from turnloom.runtime import drop, spill
 
 #: The answers, in natural order.
 ACTIONS = ["ack", "repair", "respond", "wait"]
+#: The share of an answer among the others is a sharpened softmax, close to asking for their winner: with a plain softmax
+#: the weights of a weak crowd would all sink to chance. After some rounds a part of the old weight stays, against cycles.
+SHARPNESS, FREE_ROUNDS, KEPT = 8.0, 3, 0.3
 
 
 def last_ratable_answers(answers: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def _score(answers: list[str]) -> list[Column]:
 
 
 def reweighted_votes(
-    votes: DataFrame, answers: list[str] = ACTIONS, rounds: int = 50, tolerance: float = 1e-3, smoothing: float = 1.0, floor: float = 0.02
+    votes: DataFrame, answers: list[str] = ACTIONS, rounds: int = 50, tolerance: float = 2e-3, smoothing: float = 1.0, floor: float = 0.02
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Weighted consensus, annotator reliability and the votes they rest on.
 
@@ -47,7 +50,8 @@ def reweighted_votes(
     greatest answer. Returns (consensus: item, n_annotators, answer, score, margin; annotators: annotator, n_votes,
     n_scored, accuracy, weight; votes). Accuracy is (agreed + smoothing) / (scored + len(answers) * smoothing) over
     items that somebody else also answered; the weight is log(accuracy * (k - 1) / (1 - accuracy)) with the accuracy
-    kept ``floor`` away from 0 and 1. Ties go to the later answer in the list. Rounds end once no weight moves by more
+    kept ``floor`` away from 0 and 1. The consensus is one of the answers given to the item, ties go to the later one in
+    the list; the margin is its score over the best of the others (0 for those not given). Rounds end once no weight moves by more
     than ``tolerance``. No votes give empty results.
     """
     k = len(answers)
@@ -55,18 +59,21 @@ def reweighted_votes(
     votes = spill(votes.groupBy("item", "annotator").agg(F.max("answer").alias("answer")), "votes")
     trust = votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_votes"), F.lit(0).cast("bigint").alias("n_scored"), F.lit(0.0).alias("accuracy"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("moved"))
     trust = spill(trust, "trust")
-    for _ in range(rounds):
+    for turn in range(rounds):
         weighted = votes.join(trust.select("annotator", "weight"), "annotator")
         totals = weighted.groupBy("item").agg(*_score(answers), F.count(F.lit(1)).alias("n"))
         own = [F.col("answer") == a for a in answers]
-        others = [F.exp(F.coalesce(F.col(f"s_{i}"), F.lit(0.0)) - F.when(o, F.col("weight")).otherwise(0.0)) for i, o in enumerate(own)]
+        rest = [F.coalesce(F.col(f"s_{i}"), F.lit(0.0)) - F.when(o, F.col("weight")).otherwise(0.0) for i, o in enumerate(own)]
+        others = [F.exp((r - F.greatest(*rest)) * SHARPNESS) for r in rest]  # below 1, so that a thousand votes don't overflow
         mine = sum((F.when(o, e).otherwise(0.0) for o, e in zip(own, others, strict=True)), F.lit(0.0))
         agreed = F.when(F.col("n") > 1, mine / sum(others[1:], others[0]))  # null if nobody else answered
         scored = weighted.join(totals.where("n > 1"), "item", "left").groupBy("annotator").agg(F.count(F.lit(1)).alias("n_votes"), F.count(agreed).alias("n_scored"), F.coalesce(F.sum(agreed), F.lit(0.0)).alias("agreed"))
         accuracy = (F.col("agreed") + smoothing) / (F.col("n_scored") + k * smoothing)
         held = F.least(F.greatest(accuracy, F.lit(floor)), F.lit(1 - floor))
-        new = scored.select("annotator", "n_votes", "n_scored", accuracy.alias("accuracy"), F.log(held * (k - 1) / (1 - held)).alias("weight"))
-        new = spill(new.join(trust.select("annotator", F.col("weight").alias("old")), "annotator").withColumn("moved", F.abs(F.col("weight") - F.col("old"))).drop("old"), "trust")
+        new = scored.select("annotator", "n_votes", "n_scored", accuracy.alias("accuracy"), F.log(held * (k - 1) / (1 - held)).alias("full"))
+        kept = KEPT if turn >= FREE_ROUNDS else 0.0
+        new = new.join(trust.select("annotator", F.col("weight").alias("old")), "annotator").withColumn("weight", kept * F.col("old") + (1 - kept) * F.col("full"))
+        new = spill(new.withColumn("moved", F.abs(F.col("weight") - F.col("old"))).drop("old", "full"), "trust")
         moved = new.agg(F.max("moved")).first()[0]
         drop(trust)
         trust = new
@@ -74,9 +81,10 @@ def reweighted_votes(
             break
     totals = votes.join(trust.select("annotator", "weight"), "annotator").groupBy("item").agg(*_score(answers), F.count(F.lit(1)).alias("n_annotators"))
     scores = [F.col(f"s_{i}") for i in range(k)]
-    ranked = F.sort_array(F.array(*[F.coalesce(s, F.lit(0.0)) for s in scores]), asc=False)
-    voted = F.array(*[F.struct(F.coalesce(s, F.lit(0.0)).alias("s"), F.lit(a).alias("a")) for s, a in zip(scores, answers, strict=True)])
-    consensus = totals.select("item", "n_annotators", F.array_max(voted).a.alias("answer"), ranked[0].alias("score"), (ranked[0] - ranked[1]).alias("margin"))
+    given = F.filter(F.array(*[F.struct(s.alias("s"), F.lit(a).alias("a")) for s, a in zip(scores, answers, strict=True)]), lambda o: o.s.isNotNull())
+    best = totals.withColumn("best", F.array_max(given))
+    rest = F.filter(F.array(*[F.struct(F.coalesce(s, F.lit(0.0)).alias("s"), F.lit(a).alias("a")) for s, a in zip(scores, answers, strict=True)]), lambda o: o.a != F.col("best.a"))
+    consensus = best.select("item", "n_annotators", F.col("best.a").alias("answer"), F.col("best.s").alias("score"), (F.col("best.s") - F.array_max(rest).s).alias("margin"))
     return consensus, trust, votes
 
 
