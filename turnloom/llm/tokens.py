@@ -39,7 +39,8 @@ def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", voc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(raw.value).encode_ordinary
         for batch in batches:
-            counts = [len(encode(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = batch.column(batch.num_columns - 1)
+            counts = [len(encode(t)) if t else 0 for at in range(0, len(texts), 64) for t in texts.slice(at, 64).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], out])
 
     schema = rest.drop("_text").withColumn(out, F.lit(0).cast("bigint")).schema
