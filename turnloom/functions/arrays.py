@@ -85,4 +85,5 @@ def best_action(probabilities: Column | str, out_of_play: list[str]) -> Column:
 def counted(values: Column | str, names: list[str]) -> Column:
     """Map of every name to how often it is among the values, 0 included."""
     v = col_of(values)
-    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.size(F.filter(v, lambda x, n=n: x == n)) for n in names]))
+    how_often = [F.size(F.filter(v, (lambda n: lambda x: x == n)(n))) for n in names]
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*how_often))

@@ -93,6 +93,38 @@ def sliding_rms(values: Column, width: int, hop: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), root)).otherwise(F.array().cast("array<double>"))
 
 
+def sliding_frames(frames: DataFrame, keys: list[str], width: int, hop: int, aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates over windows of ``width`` frames every ``hop``, by ``place``; only windows that have all their frames.
+
+    Each frame names the windows it belongs to, so windows are summed where they are and a long series spreads.
+    """
+    first = F.greatest(F.ceil((F.col("frame") - (width - 1)) / hop), F.lit(0))
+    each = frames.withColumn("place", F.explode(F.sequence(first, F.floor(F.col("frame") / hop))))
+    g = each.groupBy(*keys, "place").agg(*[a.alias(n) for n, a in aggs.items()], F.count(F.lit(1)).alias("_n"))
+    return g.where(F.col("_n") == width).drop("_n")
+
+
+def _spread(frames: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``n`` evenly spread places ``x`` from frame 0 to the last frame of each series."""
+    last = frames.groupBy(*keys).agg(F.max("frame").alias("_last"))
+    return last.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("x", F.col("i") * F.col("_last") / F.lit(float(max(n - 1, 1)))).drop("_last")
+
+
+def resampled_nearest(frames: DataFrame, keys: list[str], n: int, value: str = "value") -> DataFrame:
+    """Values at ``n`` places (truncated) of each series; null where the frame is missing."""
+    last = frames.groupBy(*keys).agg(F.max("frame").alias("_last"))
+    at = last.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("frame", (F.col("i") * (F.col("_last") / F.lit(float(max(n - 1, 1))))).cast("bigint"))
+    return at.join(frames.select(*keys, "frame", value), [*keys, "frame"], "left").select(*keys, "i", value)
+
+
+def resampled_linear(frames: DataFrame, keys: list[str], n: int, value: str = "value") -> DataFrame:
+    """Linearly interpolated values at ``n`` places of each series; null where a neighbour is missing."""
+    at = _spread(frames, keys, n).withColumn("_a", F.floor("x")).withColumn("_b", F.ceil("x"))
+    side = lambda c: frames.select(*keys, F.col("frame").alias(c), F.col(value).alias(f"{c}v"))
+    j = at.join(side("_a"), [*keys, "_a"], "left").join(side("_b"), [*keys, "_b"], "left")
+    return j.select(*keys, "i", (F.col("_av") + (F.col("_bv") - F.col("_av")) * (F.col("x") - F.floor("x"))).alias(value))
+
+
 def undelay(frames: DataFrame, keys: list[str], delay: Column, value: str = "value") -> DataFrame:
     """Moves each row back by its delay; frames in front are dropped, so the tail is missing (masked)."""
     moved = frames.withColumn("_to", F.col("frame") - delay).where("_to >= 0").select(*keys, F.col("_to").alias("frame"), F.col(value).alias("_moved"))

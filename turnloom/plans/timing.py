@@ -315,27 +315,30 @@ def agg_32_silence_runs(spark, d):
     return out.select("session_id", "n_long_runs", F.round("long_var_mean", 6).alias("long_var_mean"), "collapsed")
 
 
-@query(sql("frames", """, l as (select session_id, signal_name, list(value order by frame) as x from frames where frame < 400 group by all having count(*) >= 25)
-select session_id, signal_name, [round(sqrt(list_sum(list_transform(x[i * 10 + 1 : i * 10 + 25], lambda z: z * z)) / 25), 6) for i in range((len(x) - 25) // 10 + 1)] as rms from l"""))
+@query(sql("frames", """, w as (select session_id, signal_name, value, unnest(range(cast(greatest(0, ceil((frame - 24) / 10.0)) as bigint), frame // 10 + 1)) as place from frames)
+select session_id, signal_name, place, round(sqrt(avg(value * value)), 6) as rms from w group by all having count(*) = 25"""))
 def win_07_sliding_rms(spark, d):
-    """Windows of 25 points every 10."""
-    x = v.frames(spark, d).where("frame < 400").groupBy("session_id", "signal_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "value"))), lambda s: s.value).alias("x")).where("size(x) >= 25")
-    return x.select("session_id", "signal_name", F.transform(tl.sliding_rms(F.col("x"), 25, 10), lambda y: F.round(y, 6)).alias("rms"))
+    """Windows of 25 frames every 10; only whole ones."""
+    out = tl.sliding_frames(v.frames(spark, d), ["session_id", "signal_name"], 25, 10, {"rms": F.sqrt(F.avg(F.col("value") * F.col("value")))})
+    return out.select("session_id", "signal_name", "place", F.round("rms", 6).alias("rms"))
 
 
-@query(sql("frames", """, l as (select session_id, signal_name, list(value order by frame) as x from frames where frame < 400 group by all)
-select session_id, signal_name, [x[cast(least(trunc(i * ((len(x) - 1) / 9.0)), len(x) - 1) as int) + 1] for i in range(10)] as y from l"""))
+_ENDS = ", e as (select session_id, signal_name, max(frame) as last from frames group by all)"
+
+
+@query(sql("frames", _ENDS + """, p as (select *, unnest(range(10)) as i from e), q as (select session_id, signal_name, i, cast(trunc(i * (last / 9.0::double)) as bigint) as frame from p)
+select session_id, signal_name, i, f.value from q left join frames f using (session_id, signal_name, frame)"""))
 def win_10_resample(spark, d):
-    x = v.frames(spark, d).where("frame < 400").groupBy("session_id", "signal_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "value"))), lambda s: s.value).alias("x"))
-    return x.select("session_id", "signal_name", tl.resample_nearest(F.col("x"), 10).alias("y"))
+    """Ten evenly spread frames of each series, places truncated."""
+    return tl.resampled_nearest(v.frames(spark, d), ["session_id", "signal_name"], 10)
 
 
-@query(sql("frames", """, l as (select session_id, signal_name, list(value order by frame) as x from frames where frame < 400 group by all having count(*) > 1),
-p as (select session_id, signal_name, x, unnest(range(16)) as i, (len(x) - 1) / 15.0 as s from l)
-select session_id, signal_name, list(round(x[cast(floor(i * s) as int) + 1] + (x[cast(least(floor(i * s) + 1, len(x) - 1) as int) + 1] - x[cast(floor(i * s) as int) + 1]) * (i * s - floor(i * s)), 4) order by i) as y from p group by all"""))
+@query(sql("frames", _ENDS + """, p as (select *, unnest(range(16)) as i from e), q as (select session_id, signal_name, i, i * last / 15.0::double as x from p)
+select q.session_id, q.signal_name, i, round(a.value + (b.value - a.value) * (x - floor(x)), 4) as value from q
+left join frames a on a.session_id = q.session_id and a.signal_name = q.signal_name and a.frame = floor(x) left join frames b on b.session_id = q.session_id and b.signal_name = q.signal_name and b.frame = ceil(x)"""))
 def win_11_linear_resample(spark, d):
-    x = v.frames(spark, d).where("frame < 400").groupBy("session_id", "signal_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "value"))), lambda s: s.value).alias("x")).where("size(x) > 1")
-    return x.select("session_id", "signal_name", F.transform(tl.resample_linear(F.col("x"), 16), lambda y: F.round(y, 4)).alias("y"))
+    out = tl.resampled_linear(v.frames(spark, d), ["session_id", "signal_name"], 16)
+    return out.select("session_id", "signal_name", "i", F.round("value", 4).alias("value"))
 
 
 @query(sql("frames", "select a.session_id, a.signal_name, a.frame, b.value from frames a left join frames b on a.session_id = b.session_id and a.signal_name = b.signal_name and b.frame = a.frame + 3"))
