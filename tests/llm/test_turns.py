@@ -39,6 +39,8 @@ def test_reading(spark):
         ("(21.5s) >> usr: uh-huh", "", 21.5, "user", "uh-huh", 1),
         ("00:00:38,025 --> ((static)) um, uh...", "bot", 38.025, "assistant", "", 0),
         ("00:04:11 right - mm-hm", None, 251.0, "assistant", "mm-hm", 1),
+        ("00:04:17 >> User: yeah", None, 257.0, "user", "yeah", 1),
+        ("00:00:01,500 --> 00:00:02,000 >> bot: ER exactly", "", 1.5, "assistant", "exactly", 1),
         ("@79.28 | fair ((phone  rings)) ummm... enough", "ch0", 79.28, "user", "fair enough", 2),
         (">>  channel  1: well, *sighs* {cough} <noise> yes", None, 7.0, "assistant", "well, yes", 2),
         ("right - I see", "user", 7.0, "user", "right - I see", 3),

@@ -31,7 +31,7 @@ CONTINUERS = ["and", "and then", "but", "so", "or", "because", "then"]
 ACKNOWLEDGEMENTS = ["yeah", "uh-huh", "mm-hm", "right", "okay", "sure", "exactly", "i see", "got it", "go on", "of course", "fair enough", "really", "no way", "oh no"]
 
 _SPAN = r"\(\([^()]*\)\)|\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>|\{[^{}]*\}|\*[^*]+\*|♪[^♪]*♪?"
-_CLOCK = r"^\s*[\[<(]?\s*(?:(\d{1,3}):)?(\d{1,3}):(\d{2})(?:[.,](\d{1,6}))?\s*(?:[\])>]|-->(?:\s*\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,6})?)?|\|)"
+_CLOCK = r"^\s*[\[<(]?\s*(?:(\d{1,3}):)?(\d{1,3}):(\d{2})(?:[.,](\d{1,6}))?\s*(?:[\])]|>(?!>)|-->(?:\s*\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,6})?)?|\|)"
 _BARE = r"^\s*(\d{1,3}):(\d{2}):(\d{2})(?:[.,](\d{1,6}))?(?=\s|$)"
 _SECONDS = r"^\s*(?:[\[<(]\s*(\d+(?:\.\d+)?)\s*s(?:ec)?\s*[\])>]|@\s*(\d+(?:\.\d+)?)\s*s?\s*(?:\||$))"
 
