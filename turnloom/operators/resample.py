@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.columns import hash_share
+
 
 def numbered(units: DataFrame, key: str, groups: list[str] | None = None) -> DataFrame:
     """Adds ``u``, the place of the unit (from 0) within its group, and ``n``, how many there are."""
@@ -42,6 +44,23 @@ def bootstrap(units: DataFrame, key: str, sums: list[str], statistic: Column, n:
     return g.select(*groups, "b", statistic.alias("value"))
 
 
+#: P(Poisson(1) <= k) for k = 0, 1, ...
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+
+
+def poisson_bootstrap(units: DataFrame, sums: list[str], statistic: Column, key: str, n: int = 200, seed: int = 20260903, groups: list[str] | None = None) -> DataFrame:
+    """Like ``bootstrap``, with a Poisson(1) number of times for each unit and replicate, from a hash of both.
+
+    For many units: nothing is numbered or joined, replicates are summed where the units lie. (groups, b, value).
+    """
+    groups = groups or []
+    each = units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_u", hash_share(F.lit(seed), "b", key))
+    times = sum(((F.col("_u") >= p).cast("int") for p in POISSON), F.lit(0))
+    each = each.withColumn("_n", times).where("_n > 0")
+    g = each.groupBy(*groups, "b").agg(*[F.sum(F.col(s) * F.col("_n")).alias(s) for s in sums])
+    return g.select(*groups, "b", statistic.alias("value"))
+
+
 def interval(values: DataFrame, groups: list[str] | None = None, confidence: float = 0.95) -> DataFrame:
     """Percentile interval with linear interpolation; replicates without a value are counted and left out."""
     groups = groups or []

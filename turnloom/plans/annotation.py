@@ -126,6 +126,18 @@ def agg_06_bootstrap_mean(spark, d):
     return _rounded(rs.interval(rs.bootstrap(u, "session_id", ["vw", "w"], rs.weighted_mean(), 200, SEED)))
 
 
+_POISSON = " + ".join(f"(x >= {p!r})::int" for p in rs.POISSON)
+
+
+@query(sql("frames", f""", un as (select session_id, sum(value) as vw, count(*) as w from frames where signal_name = 'surprise' group by all),
+ea as (select b, vw, w, cast(('0x' || substr(sha256('{SEED}:' || b || ':' || session_id), 1, 16)) as ubigint)::double / 18446744073709551616.0 as x from un, (select unnest(range(100)) as b)),
+va as (select b, sum(vw * ({_POISSON})) / sum(w * ({_POISSON})) as value from ea where x >= {rs.POISSON[0]!r} group by b)""" + _CI))
+def agg_06_poisson_bootstrap(spark, d):
+    """The same interval with Poisson weights: no numbering, no join."""
+    u = v.frames(spark, d).where("signal_name = 'surprise'").groupBy("session_id").agg(F.sum("value").alias("vw"), F.count(F.lit(1)).alias("w"))
+    return _rounded(rs.interval(rs.poisson_bootstrap(u, ["vw", "w"], rs.weighted_mean(), "session_id", 100, SEED)))
+
+
 @query(sql("frames", ", un as (select session_id, sum(value) as vw, count(*) as w from frames where signal_name = 'surprise' group by all)" + _boot("un", "session_id", "sum(vw * times) / sum(w * times)") + ", r as (select value, row_number() over (order by value) - 1 as k from va) select round(max(value) filter (k = 5), 6) as lo, round(max(value) filter (k = 195), 6) as hi from r"))
 def agg_39_index_interval(spark, d):
     u = v.frames(spark, d).where("signal_name = 'surprise'").groupBy("session_id").agg(F.sum("value").alias("vw"), F.count(F.lit(1)).alias("w"))
