@@ -13,7 +13,10 @@ from turnloom.functions.columns import hash_share
 
 
 def numbered(units: DataFrame, key: str, groups: list[str] | None = None) -> DataFrame:
-    """Adds ``u``, the place of the unit (from 0) within its group, and ``n``, how many there are."""
+    """Adds ``u``, the place of the unit (from 0) within its group, and ``n``, how many there are.
+
+    Numbering sorts a group's units in one task: for units by the million use ``poisson_bootstrap``.
+    """
     groups = groups or []
     w = Window.partitionBy(*groups).orderBy(key) if groups else Window.partitionBy(F.lit(0)).orderBy(key)
     everyone = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
