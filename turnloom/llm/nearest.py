@@ -60,8 +60,8 @@ def _merge(tolerance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.Table | None = None
         for batch in batches:
-            if batch.num_rows:
-                part = pa.Table.from_batches([batch])
+            part = pa.Table.from_batches([batch]).filter(pc.and_(pc.is_valid(batch["entity"]), pc.is_valid(batch["t"])))
+            if part.num_rows:
                 waiting = part if waiting is None else pa.concat_tables([waiting, part])
                 out, waiting = step(waiting, False)
                 yield from out
@@ -118,6 +118,6 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: float, slice_s
     reach = tolerance * 1.001 + 1e-6
     a = a.withColumn("slot", slot(0.0))
     b = b.withColumn("slot", F.explode(F.array_distinct(F.array(slot(-reach), slot(0.0), slot(reach)))))
-    both = a.unionByName(b).where("entity is not null and id is not null and t is not null")
+    both = a.unionByName(b).where("id is not null")  # a filter on entity or t would compute both twice; the merge drops nulls
     lined = both.repartition("entity", "slot").sortWithinPartitions("entity", "slot", "t", "is_left", "id")
     return lined.mapInArrow(_merge(tolerance), SCHEMA)
