@@ -1,6 +1,9 @@
 import random
 
+import __spark_entry__ as entry
+
 from turnloom.operators import intervals as iv
+from turnloom.plans import views as v
 
 SPAN = "session_id string, speaker string, start_ms long, end_ms long"
 
@@ -55,3 +58,14 @@ def test_stab_keeps_rows_with_nulls(spark):
 def test_frames_of_intervals(spark):
     df = spark.createDataFrame([("s", "u", 0, 160), ("s", "u", 150, 161), ("s", "u", -100, -10)], SPAN)
     assert sorted(r["frame"] for r in iv.interval_frames(df, ["session_id"], 80).collect()) == [0, 1, 2]
+
+
+def test_no_session_is_lost_to_overlaps(spark, tiny):
+    q = entry.queries()
+    t = v.turns(spark, tiny)
+    assert not t.select("session_id", "speaker").distinct().exceptAll(q["win_03_periods"](spark, tiny).select("session_id", "speaker").distinct()).count()
+    users = t.where("speaker = 'user'").select("session_id").distinct().count()
+    for name in ("win_04_period_episodes", "stm_03_period_censored"):
+        assert q[name](spark, tiny).select("session_id").distinct().count() == users
+    seen = q["win_05_period_checkpoints"](spark, tiny).select("session_id").distinct().count()
+    assert seen == users > q["win_05_checkpoints"](spark, tiny).select("session_id").distinct().count()

@@ -10,6 +10,7 @@ from turnloom.operators import intervals as iv
 from turnloom.operators import labels as lb
 from turnloom.operators import metrics as mt
 from turnloom.operators import timeline as tl
+from turnloom.operators.dyadic import periods_and_gaps
 from turnloom.plans import views as v
 from turnloom.plans.views import sql
 from turnloom.runtime import table
@@ -161,13 +162,57 @@ from cps c left join turns t on t.session_id = c.session_id and t.speaker = 'ass
 def win_05_checkpoints(spark, d):
     """Checkpoints on the elapsed grid with what the assistant does there."""
     t = v.turns(spark, d)
-    eps = iv.episodes(iv.merge_touching(t, ["session_id", "speaker"]).where("speaker = 'user'"))
+    return _checkpoints(t, iv.merge_touching(t, ["session_id", "speaker"]))
+
+
+def _checkpoints(t: DataFrame, merged: DataFrame) -> DataFrame:
+    eps = iv.episodes(merged.where("speaker = 'user'"))
     length = t.groupBy("session_id").agg((F.max("end_ms") + 5000).alias("duration_ms"))
     points = iv.checkpoints(eps, length, [240, 480, 960, 2000, 3000])
     out = iv.stab(points, t.where("speaker = 'assistant'"), "session_id", "cutoff_ms", "assistant_active")
     return out.select("session_id", "episode", F.col("elapsed_ms").cast("int").alias("elapsed_ms"), "cutoff_ms", "right_censored", "assistant_active")
 
 
+_PERIODS = """, opened as (select *, coalesce(max(end_ms) over (partition by session_id, speaker order by start_ms, end_ms rows between unbounded preceding and 1 preceding) < start_ms, true) as opens from turns),
+numbered as (select *, sum(opens::int) over (partition by session_id, speaker order by start_ms, end_ms rows unbounded preceding) as k from opened),
+merged as (select session_id, speaker, min(start_ms) as start_ms, max(end_ms) as end_ms from numbered group by session_id, speaker, k)"""
+
+
+def _periods(t: DataFrame) -> DataFrame:
+    """Continuous periods of each speaker, overlaps merged: no session is lost."""
+    p = periods_and_gaps(t, ["session_id", "speaker"], "start_ms", "end_ms").where("piece = 'period'")
+    return p.select("session_id", "speaker", F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))
+
+
+def _on_periods(name: str) -> str:
+    """SQL of a query on strictly merged intervals, on continuous periods instead."""
+    return SQL[name].replace(_MERGED, _PERIODS)
+
+
+@query(_on_periods("win_03_merge_touching"))
+def win_03_periods(spark, d):
+    """WIN-03 for all sessions: overlapping intervals are merged instead of rejected."""
+    return _periods(v.turns(spark, d))
+
+
+@query(_on_periods("win_04_episodes"))
+def win_04_period_episodes(spark, d):
+    return iv.episodes(_periods(v.turns(spark, d)).where("speaker = 'user'"))
+
+
+@query(_on_periods("win_05_checkpoints"))
+def win_05_period_checkpoints(spark, d):
+    """Checkpoints of all sessions."""
+    t = v.turns(spark, d)
+    return _checkpoints(t, _periods(t))
+
+
+@query(_on_periods("win_04_episodes").replace("select *, next_ms is null as right_censored from ep", "select session_id, episode, onset_ms from ep where next_ms is null"))
+def stm_03_period_censored(spark, d):
+    """The open episode at the end of every session in which the user speaks."""
+    return iv.episodes(_periods(v.turns(spark, d)).where("speaker = 'user'")).where("right_censored").select("session_id", "episode", "onset_ms")
+
+
 @query(sql("turns events", """, e as (select distinct session_id, t_ms from events_)
 select e.session_id, e.t_ms, coalesce(bool_or(t.start_ms is not null), false) as speaking from e left join turns t on t.session_id = e.session_id and t.start_ms <= e.t_ms and e.t_ms < t.end_ms group by all"""))
 def join_10_stab(spark, d):
