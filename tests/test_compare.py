@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from turnloom.functions.columns import EVENT_KINDS
 from turnloom.operators import synthetic as sy
 from turnloom.operators import timeline as tl
 from turnloom.plans import compare as cp
+from turnloom.plans import views as v
 
 
 def test_salient_signals_rank_above_random_ones(spark):
@@ -41,3 +43,15 @@ def test_frames_in_windows_and_resampling(spark):
     assert places == {0: 4.5, 1: 9.5, 4: 24.5, 5: 29.5, 6: 34.5}
     assert [r["value"] for r in tl.resampled_nearest(f, ["k"], 4).orderBy("i").collect()] == [0.0, 13.0, 26.0, 39.0]
     assert [r["value"] for r in tl.resampled_linear(f, ["k"], 5).orderBy("i").collect()] == [0.0, 9.75, 19.5, 29.25, 39.0]
+
+
+def test_every_signal_and_every_pair(spark, tiny):
+    f = v.frames(spark, tiny)
+    signals = {r[0] for r in f.select("signal_name").distinct().collect()}
+    assert len(signals) > 2
+    q = entry.queries()
+    assert {r["signal_name"] for r in q["agg_01_auroc_by_signal"](spark, tiny).collect()} == signals
+    labelled = q["join_05_labels_by_signal"](spark, tiny).select("session_id").distinct()
+    assert labelled.count() == f.join(v.spans(spark, tiny), "session_id").where("t_end_ms + 500 <= duration_ms").select("session_id").distinct().count()
+    assert {r["pair"] for r in q["compare_report"](spark, tiny).select("pair").distinct().collect()} == {"/".join(p) for p in cp.pairs(f)}
+    assert len(cp.pairs(f)) > 1

@@ -12,7 +12,7 @@ from turnloom.operators import labels as lb
 from turnloom.operators import metrics as mt
 from turnloom.operators import resample as rs
 from turnloom.operators import timeline as tl
-from turnloom.runtime import spill
+from turnloom.runtime import drop, spill
 
 
 @dataclass
@@ -33,6 +33,19 @@ class Compare:
             raise ValueError("signals, kinds and positive horizons are needed")
 
 
+#: Most pairs that are compared one after another. More is an error, not a cut.
+MAX_PAIRS = 100
+
+
+def pairs(frames: DataFrame) -> list[tuple[str, str]]:
+    """Every two signals that some session has both of, sorted."""
+    s = frames.select("session_id", F.col("signal_name").alias("a")).distinct()
+    found = s.join(s.withColumnRenamed("a", "b"), "session_id").where("a < b").select("a", "b").distinct().limit(MAX_PAIRS + 1).collect()
+    if len(found) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of signals")
+    return sorted((r["a"], r["b"]) for r in found)
+
+
 GROUPS = ["session_id", "signal_name", "kind", "horizon_ms"]
 
 
@@ -54,7 +67,9 @@ def rows(frames: DataFrame, events: DataFrame, durations: DataFrame, what: Compa
     a = mt.auroc(scored, GROUPS)
     p = mt.average_precision(scored, GROUPS, ["frame"])
     b = mt.best_f1(scored, GROUPS).select(*GROUPS, F.col("f1").alias("best_f1"), F.col("threshold").alias("best_threshold"))
-    return a.join(p, GROUPS).join(b, GROUPS)
+    out = spill(a.join(p, GROUPS).join(b, GROUPS), "compared")  # the summary reads it four times
+    drop(scored)
+    return out
 
 
 def summary(per_session: DataFrame, what: Compare) -> DataFrame:

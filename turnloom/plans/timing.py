@@ -240,7 +240,11 @@ lab as (select n.*, h as horizon_ms, coalesce(next_ms <= t_end_ms + h, false)::i
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    f = v.frames(spark, d).where("signal_name = 'surprise'").join(v.spans(spark, d), "session_id")
+    return _labelled_signals(spark, d, "signal_name = 'surprise'")
+
+
+def _labelled_signals(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
+    f = v.frames(spark, d).where(which).join(v.spans(spark, d), "session_id")
     return lb.horizon_labels(f, v.events(spark, d), EVENT_KINDS, HORIZONS)
 
 
@@ -321,6 +325,62 @@ def agg_08_mean_over_sessions(spark, d):
     return a.groupBy("kind", "horizon_ms").agg(F.round(F.avg("auroc"), 6).alias("mean_auroc"), F.count("auroc").alias("n_sessions"))
 
 
+def _by_signal(name: str) -> str:
+    """SQL of a query on surprise, for every signal by itself."""
+    return SQL[name].replace("where f.signal_name = 'surprise' ", "").replace("kind, horizon_ms", "signal_name, kind, horizon_ms")
+
+
+_SIGNAL = ["signal_name", "kind", "horizon_ms"]
+
+
+@query(_by_signal("join_05_horizon_labels"))
+def join_05_labels_by_signal(spark, d):
+    """Labels of every signal's frames, counted per session, signal, kind and horizon."""
+    return mt.counts(_labelled_signals(spark, d), ["session_id", *_SIGNAL])
+
+
+@query(sql("frames events", """, n as (select f.session_id, f.signal_name, f.frame, f.t_end_ms, min(e.t_ms) as next_ms from frames f left join (select distinct session_id, t_ms from events_) e on e.session_id = f.session_id and e.t_ms > f.t_end_ms and e.t_ms <= f.t_end_ms + 2000 group by all)
+select session_id, signal_name, frame, round(case when next_ms is null then 0.0 else exp(-(next_ms - t_end_ms) / 600.0) end, 6) as salience from n"""))
+def join_06_next_event_by_signal(spark, d):
+    e = v.events(spark, d).select("session_id", "t_ms").distinct()
+    return lb.salience(v.frames(spark, d), e, ["session_id"]).select("session_id", "signal_name", "frame", F.round("salience", 6).alias("salience"))
+
+
+@query(_by_signal("agg_01_auroc"))
+def agg_01_auroc_by_signal(spark, d):
+    """AUROC of every signal over all sessions that have it, by kind and horizon."""
+    return mt.auroc(_named(_labelled_signals(spark, d)), _SIGNAL).select(*_SIGNAL, "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
+
+
+@query(_by_signal("agg_02_average_precision"))
+def agg_02_average_precision_by_signal(spark, d):
+    return mt.average_precision(_named(_labelled_signals(spark, d)), _SIGNAL, ["session_id", "frame"]).select(*_SIGNAL, F.round("ap", 6).alias("ap"))
+
+
+@query(_by_signal("agg_03_threshold"))
+def agg_03_threshold_by_signal(spark, d):
+    out = mt.at_threshold(_named(_labelled_signals(spark, d)), _SIGNAL, 1.0)
+    return out.select(*_SIGNAL, "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(_by_signal("agg_04_best_f1"))
+def agg_04_best_f1_by_signal(spark, d):
+    best = mt.best_f1(_named(_labelled_signals(spark, d)), _SIGNAL)
+    return best.select(*_SIGNAL, "threshold", F.round("f1", 6).alias("f1"))
+
+
+@query(_by_signal("agg_05_precision_at_recall"))
+def agg_05_precision_at_recall_by_signal(spark, d):
+    out = mt.precision_at_recall(_named(_labelled_signals(spark, d)), _SIGNAL, ["session_id", "frame"], 0.5)
+    return out.select(*_SIGNAL, F.round("precision_at_recall", 6).alias("precision_at_recall"))
+
+
+@query(_by_signal("agg_08_mean_over_sessions"))
+def agg_08_mean_over_sessions_by_signal(spark, d):
+    a = mt.auroc(_named(_labelled_signals(spark, d)), ["session_id", *_SIGNAL])
+    return a.groupBy(*_SIGNAL).agg(F.round(F.avg("auroc"), 6).alias("mean_auroc"), F.count("auroc").alias("n_sessions"))
+
+
 @query(sql("turns", """, f as (select distinct session_id, speaker, unnest(range(greatest(start_ms // 80, 0), cast(ceil(end_ms / 80.0) as bigint))) as frame from turns where end_ms > 0),
 g as (select session_id, unnest(range(max(frame) + 1)) as frame from f group by session_id),
 m as (select g.session_id, g.frame, bool_or(coalesce(speaker = 'user', false)) as u, bool_or(coalesce(speaker = 'assistant', false)) as a from g left join f using (session_id, frame) group by all)
