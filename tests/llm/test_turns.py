@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from turnloom.llm.queries import p5_found
-from turnloom.llm.turns import best_roles, read_lines, speaker_turns, train
+from turnloom.llm.turns import best_roles, read_lines, sessions_without_role, speaker_turns, train
 
 LINE = "line_id long, session_id string, speaker string, start_s double, text string"
 
@@ -106,3 +106,10 @@ def test_edges(spark):
 def test_found(spark, tiny):
     out = p5_found(spark, tiny)
     assert out.columns == ["session_id", "turn_speaker", "opening_line_id", "n_lines"] and out.count() > 0
+
+
+def test_sessions_without_a_role_are_reported(spark):
+    rows = [(1, "s", "user", 0.0, "hello there"), (2, "s", "xyzzy", 1.0, "more words"), (3, "t", "xyzzy", 0.0, "hello there"), (4, "t", None, 2.0, "more words"), (4, "t", None, 2.0, "more words"), (5, "u", None, 0.0, "[noise]")]
+    df = spark.createDataFrame(rows, "line_id long, session_id string, speaker string, start_s double, text string")
+    assert [tuple(r) for r in sessions_without_role(df).collect()] == [("t", 2)]
+    assert {r["session_id"] for r in speaker_turns(df).collect()} == {"s"}

@@ -14,7 +14,7 @@ from turnloom.llm.nearest import nearest_in_time
 from turnloom.llm.packing import pack
 from turnloom.llm.splits import components, grouped_splits
 from turnloom.llm.tokens import count_tokens
-from turnloom.llm.turns import speaker_turns
+from turnloom.llm.turns import sessions_without_role, speaker_turns
 from turnloom.runtime import spill, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -88,6 +88,11 @@ def p5_turns(spark: SparkSession, folder: str) -> DataFrame:
     return speaker_turns(table(spark, folder, "raw_turns"))
 
 
+def p5_without_role(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions that p5_found leaves out: not one line names a role."""
+    return sessions_without_role(table(spark, folder, "raw_turns"))
+
+
 # 6. splits
 
 
@@ -175,7 +180,7 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_annotators, p1_agreement, p3_found, p4_found, p4_report, p4_sample, p5_found, p5_turns, p6_found, p6_splits,
+        p1_found, p1_annotators, p1_agreement, p3_found, p4_found, p4_report, p4_sample, p5_found, p5_turns, p5_without_role, p6_found, p6_splits,
         p6_report, p7_found, p7_containers, p7_report, p8_found, p8_report, p8_uses, p8_temperature, p9_found, p9_forms,
     )
 }

@@ -267,3 +267,10 @@ def speaker_turns(lines: DataFrame, with_text: bool = True, slot_s: float = 600.
     turns = pieces.where("settled").drop("settled").unionByName(border.mapInPandas(_sessions(weights), ITEM))
     speaker = F.when(F.col("role") == 0, "user").otherwise("assistant")
     return turns.where("role >= 0").select("session_id", speaker.alias("turn_speaker"), F.col("line_id").alias("opening_line_id"), "n_lines", F.col("t").alias("start_s"), F.col("t_end").alias("end_s"), "text")
+
+
+def sessions_without_role(lines: DataFrame) -> DataFrame:
+    """Sessions that ``speaker_turns`` gives no turns because no line has a certain role: session_id, n_lines with speech."""
+    items = _items(spill(read_lines(lines).withColumn("clean", F.lit(None).cast("string")), "lines"), False)  # as above
+    g = items.groupBy("session_id").agg(F.count_distinct("line_id", "t").alias("n_lines"), F.max("role").alias("_best"))
+    return g.where("_best < 0").drop("_best")
