@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom.llm import mixing
 from turnloom.llm.mixing import divergence, entropy, mix_by_temperature, mix_to_targets, plan_targets, temperature_weights, tilt
 
 DOC, GOAL = "doc_id long, source string, n_tokens long", "source string, target_bp int, max_repeats int"
@@ -62,3 +63,17 @@ def test_temperature_respects_repeats(spark):
     uses, report = mix_by_temperature(spark.createDataFrame(rows, DOC), 0.99, 3)
     assert uses.agg(F.max("n_uses")).first()[0] <= 3
     assert {r["source"]: r["exponent"] for r in report.collect()}["tiny"] <= 1
+
+
+def test_shortfall_comes_from_the_mixture(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(100)], DOC)
+    goals = spark.createDataFrame([("a", 2000, 1), ("b", 8000, 1)], GOAL)
+    assert {r["source"]: r["falls_short"] for r in mix_to_targets(docs, goals)[1].collect()} == {"a": False, "b": True}
+    spend = mixing.spend
+    monkeypatch.setattr(mixing, "spend", lambda *a, **k: spend(*a, **k).where("doc_id <> 1"))
+    with pytest.raises(ValueError, match="b: 490 tokens used"):
+        mix_to_targets(docs, goals)
+    monkeypatch.setattr(mixing, "spend", spend)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError, match="targets"):
+        mix_to_targets(docs, goals.unionByName(goals.withColumn("source", F.lit("c"))))

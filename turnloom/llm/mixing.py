@@ -87,6 +87,22 @@ def plan_targets(tokens: dict[str, int], total: int, targets: list[dict], steps:
     return Plan(rows, x, total)
 
 
+def realised(plan: Plan, used: dict[str, int], target_bp: dict[str, int]) -> dict[str, bool]:
+    """Whether each source falls short in the mixture as it was spent: all its repeats are used and its target isn't reached.
+
+    The plan's whole-number comparison has to say the same; anything else is an error.
+    """
+    out = {}
+    for r in plan.rows:
+        s, n = r["source"], used.get(r["source"], 0)
+        if n > r["budget"]:
+            raise ValueError(f"{s}: {n} tokens used of a budget of {r['budget']}")
+        out[s] = n == r["tokens"] * r["max_repeats"] and n * 10_000 < target_bp[s] * plan.total
+        if out[s] != r["falls_short"]:
+            raise ValueError(f"{s}: {n} tokens used, which is not what the plan says of its share")
+    return out
+
+
 def spend(docs: DataFrame, plan: DataFrame, blocks: int = 1024, seed: int = 3) -> DataFrame:
     """How often each document is used: (doc_id, source, n_tokens, n_uses), only documents that are used.
 
@@ -131,13 +147,18 @@ def mix_to_targets(docs: DataFrame, targets: DataFrame, seed: int = 3) -> tuple[
     clean = spill(docs.select("doc_id", tidy("source").alias("source"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens")), "sizes")
     tokens, total = _by_source(clean)
     goals = targets.select(tidy("source").alias("source"), "target_bp", "max_repeats").dropna().dropDuplicates(["source"]).limit(MAX_SOURCES + 1).collect()
+    if len(goals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} targets")
     plan = plan_targets(tokens, total, [r.asDict() for r in goals])
     schema = "source string, tokens bigint, target_share double, max_repeats int, weight double, budget bigint, falls_short boolean"
     table = spark.createDataFrame([tuple(r.values()) for r in plan.rows], schema)
     uses = spill(spend(clean, table, seed=seed), "uses")
-    used = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("used"))
-    whole = used.agg(F.sum("used")).first()[0] or 0
-    report = table.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used", F.lit(0)))
+    sums = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("n")).collect()  # sources of the plan only
+    used = {r["source"]: r["n"] for r in sums}
+    whole = sum(used.values())
+    short = realised(plan, used, {g["source"]: g["target_bp"] for g in goals})
+    rows = [tuple((r | {"falls_short": short[r["source"]]}).values()) + (used.get(r["source"], 0),) for r in plan.rows]
+    report = spark.createDataFrame(rows, schema + ", used_tokens bigint")
     report = report.select("source", "tokens", "target_share", F.try_divide(F.col("used_tokens").cast("double"), F.lit(float(whole))).alias("actual_share"), "used_tokens", "max_repeats", "falls_short")
     return uses, report
 
