@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from turnloom.functions import arrays as ar
 from turnloom.operators import numerics as nu
 
@@ -56,3 +57,13 @@ def test_projections_do_not_depend_on_partitions(spark):
     assert a == b
     q = nu.orthogonal(df, "vec", 12, 1).select(F.round(ar.dot("proj", "proj") - ar.dot("vec", "vec"), 9)).collect()
     assert {r[0] for r in q} == {0.0}
+
+
+def test_losses_are_of_all_pairs(spark, tiny, monkeypatch):
+    train = entry.queries()["ml_03_train"]
+    whole = train(spark, tiny).orderBy("lam").collect()
+    assert all(r["last_loss"] < r["first_loss"] for r in whole)
+    sample = nu.fit_sample
+    monkeypatch.setattr(nu, "fit_sample", lambda *a, **k: sample(*a, **k, rows=5))
+    cut = train(spark, tiny).orderBy("lam").collect()
+    assert [r["first_loss"] for r in cut] == pytest.approx([r["first_loss"] for r in whole])

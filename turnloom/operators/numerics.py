@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions.arrays import nll_of
+from turnloom.functions.arrays import mse, nll_of
 from turnloom.functions.columns import finite
 
 #: Most rows a driver-side fit takes: a bounded sample in the order of a hash.
@@ -123,6 +123,12 @@ def predicted(frames: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], fe
     return _mapped(frames, lambda x: mlp_forward(layers, x), features, out)
 
 
+def mlp_loss(frames: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], features: str, target: str, lam: float = 0.0) -> DataFrame:
+    """The loss that ``mlp_fit`` descends, over all frames: one row."""
+    energy = F.aggregate("pred", F.lit(0.0), lambda a, x: a + x * x)
+    return predicted(frames, layers, features).agg(F.avg(mse("pred", target) + lam * 0.5 * energy).alias("loss"))
+
+
 def projected(frames: DataFrame, features: str, width: int, seed: int, out: str = "proj") -> DataFrame:
     """Gaussian projection to a fixed width with variance 1 / width; the matrix comes from the seed."""
     made: dict[int, np.ndarray] = {}

@@ -257,14 +257,16 @@ def ml_02_attention(spark, d):
 
 @query()
 def ml_03_train(spark, d):
-    """Loss of a short training run with and without the energy term, on a bounded sample."""
-    s = nu.fit_sample(tl.shifted(v.vectors(spark, d), ["session_id"], "vec", 1).select("session_id", "frame", "vec", "target"), ["vec", "target"], ["session_id", "frame"])
+    """Loss over all pairs before and after a short training run on a bounded sample, with and without the energy term."""
+    pairs = tl.shifted(v.vectors(spark, d), ["session_id"], "vec", 1).select("session_id", "frame", "vec", "target")
+    s = nu.fit_sample(pairs, ["vec", "target"], ["session_id", "frame"])
     x, z = np.stack(s["vec"].to_numpy()), np.stack(s["target"].to_numpy())
     rows = []
     for lam in (0.0, 0.01):
         layers = nu.mlp_init([64, 32, 64], 3)
-        losses = nu.mlp_fit(layers, x, z, steps=80, lam=lam)
-        rows.append((lam, float(losses[0]), float(np.mean(losses[-10:]))))
+        first = nu.mlp_loss(pairs, layers, "vec", "target", lam).first()[0]
+        nu.mlp_fit(layers, x, z, steps=80, lam=lam)
+        rows.append((lam, first, nu.mlp_loss(pairs, layers, "vec", "target", lam).first()[0]))
     return spark.createDataFrame(rows, "lam double, first_loss double, last_loss double")
 
 
