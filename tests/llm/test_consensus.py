@@ -69,3 +69,11 @@ def test_alpha_closed_forms(spark):
 def test_found_has_one_row_per_item(spark, tiny):
     out = p1_found(spark, tiny)
     assert out.columns == ["item_id", "action"] and out.count() == out.select("item_id").distinct().count() > 0
+
+
+def test_weights_that_still_move_are_an_error(spark):
+    votes = [(i, a, ACTIONS[i % 4]) for i in range(8) for a in "ab"] + [(i, "z", ACTIONS[(i + 1) % 4]) for i in range(8)]
+    df = spark.createDataFrame(votes, VOTE)
+    assert reweighted_votes(df)[1].count() == 3
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        reweighted_votes(df, rounds=1)

@@ -52,13 +52,14 @@ def reweighted_votes(
     items that somebody else also answered; the weight is log(accuracy * (k - 1) / (1 - accuracy)) with the accuracy
     kept ``floor`` away from 0 and 1. The consensus is one of the answers given to the item, ties go to the later one in
     the list; the margin is its score over the best of the others (0 for those not given). Rounds end once no weight moves by more
-    than ``tolerance``. No votes give empty results.
+    than ``tolerance``; weights that still move after ``rounds`` are an error. No votes give empty results.
     """
     k = len(answers)
     votes = votes.select("item", "annotator", "answer").where(F.col("answer").isin(answers)).dropna()
     votes = spill(votes.groupBy("item", "annotator").agg(F.max("answer").alias("answer")), "votes")
     trust = votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_votes"), F.lit(0).cast("bigint").alias("n_scored"), F.lit(0.0).alias("accuracy"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("moved"))
     trust = spill(trust, "trust")
+    moved = None
     for turn in range(rounds):
         weighted = votes.join(trust.select("annotator", "weight"), "annotator")
         totals = weighted.groupBy("item").agg(*_score(answers), F.count(F.lit(1)).alias("n"))
@@ -79,6 +80,8 @@ def reweighted_votes(
         trust = new
         if moved is None or moved <= tolerance:
             break
+    else:
+        raise RuntimeError(f"weights still move by {moved} after {rounds} rounds")
     totals = votes.join(trust.select("annotator", "weight"), "annotator").groupBy("item").agg(*_score(answers), F.count(F.lit(1)).alias("n_annotators"))
     scores = [F.col(f"s_{i}") for i in range(k)]
     given = F.filter(F.array(*[F.struct(s.alias("s"), F.lit(a).alias("a")) for s, a in zip(scores, answers, strict=True)]), lambda o: o.s.isNotNull())
