@@ -184,7 +184,7 @@ def src_04_transcripts(spark, d):
 
 @query(sql("turns", " select session_id, speaker, start_ms / 1000.0 as start_s, end_ms / 1000.0 as end_s from turns where speaker in ('user', 'assistant')"))
 def src_05_vad(spark, d):
-    """Channel keys with pairs, as voice activity is delivered (SRC-05, SRC-17)."""
+    """Channel keys with pairs, as voice activity is delivered (SRC-05); without the checks of strict sessions (SRC-17)."""
     t = v.turns(spark, d).where("speaker in ('user', 'assistant')").withColumn("pair", F.array(F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0))
     lists = [F.collect_list(F.when(F.col("speaker") == who, F.col("pair"))).alias(key) for who, key in (("user", "user_vad"), ("assistant", "right"))]
     return rd.vad_intervals(rd.json_records(spark, _written(t.groupBy("session_id").agg(*lists), "vad")))
