@@ -81,7 +81,8 @@ def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return speaker_turns(table(spark, folder, "raw_turns"), with_text=False).select("session_id", "turn_speaker", "opening_line_id", "n_lines")
+    """The whole reconstruction, texts included; its texts are in p5_turns."""
+    return speaker_turns(table(spark, folder, "raw_turns")).select("session_id", "turn_speaker", "opening_line_id", "n_lines")
 
 
 def p5_turns(spark: SparkSession, folder: str) -> DataFrame:
