@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnloom.operators import labels as lb
 from turnloom.operators import metrics as mt
@@ -59,6 +60,42 @@ def test_range_labels(spark):
     assert len(seen) == 13 and {r["t_end_ms"]: r["next_ms"] for r in seen if r["session_id"]}[400] == 800
 
 
+def test_label_columns_against_rows(spark):
+    """Every measure of several label columns at once equals the measure of one label column; slices and repeats don't matter."""
+    rng = random.Random(6)
+    frames = [(s, f, rng.choice([0.1, 0.2, 0.35, 0.5, rng.random()]), (f + 1) * 80) for s in "abc" for f in range(rng.randint(20, 60))]
+    ends = {s: max(t for q, _, _, t in frames if q == s) for s in "abc"}
+    events = [(rng.choice("abcd"), rng.choice(["ts", "bc"]), rng.randint(0, 5000)) for _ in range(40)]
+    f = spark.createDataFrame([*frames, (None, 1, 0.5, 160), ("a", 999, 0.5, None)], "session_id string, frame long, score double, t_end_ms long")
+    e = spark.createDataFrame([*events, *events[:5], (None, "ts", 200), ("a", "ts", None)], "session_id string, kind string, t_ms long")
+    lengths = spark.createDataFrame(list(ends.items()), "session_id string, duration_ms long")
+    kinds, horizons = ["ts", "bc"], [80, 400]
+    flags = lb.horizon_flags(f, e, kinds, horizons, lengths)
+    got = {(r["session_id"], r["frame"]): tuple(r[f"y{i}"] for i in range(4)) for r in flags.collect()}
+    assert len(got) == len(frames) + 2
+    for s, n, _, t in frames:
+        for i, (k, h) in enumerate(lb.flag_names(kinds, horizons)):
+            want = None if t + h > ends[s] else int(any(q == s and kk == k and t < at <= t + h for q, kk, at in events))
+            assert got[s, n][i] == want
+    flags = flags.where("session_id is not null and t_end_ms is not null").cache()
+    ys = [f"y{i}" for i in range(4)]
+    value = lambda df, n, *c: {(r["session_id"], r["which"]): tuple(None if r[x] is None else round(r[x], 9) for x in c) for r in df.collect() if r["which"] == n}
+    for i, y in ((1, "y1"), (2, "y2")):
+        one = flags.where(f"{y} is not null").withColumnRenamed(y, "y").withColumn("which", F.lit(i))
+        g, t = ["session_id", "which"], ["frame"]
+        for many, single, c in (
+            (mt.auroc_each(flags, g[:1], ys), mt.auroc(one, g), ["auroc", "n_pos", "n_neg"]),
+            (mt.average_precision_each(flags, g[:1], t, ys), mt.average_precision(one, g, t), ["ap"]),
+            (mt.precision_at_recall_each(flags, g[:1], t, 0.5, ys), mt.precision_at_recall(one, g, t, 0.5), ["precision_at_recall"]),
+            (mt.at_threshold_each(flags, g[:1], 0.3, ys), mt.at_threshold(one, g, 0.3), ["tp", "fp", "fn", "precision", "recall", "f1"]),
+            (mt.best_f1_each(flags, g[:1], ys), mt.best_f1(one, g).where("f1 is not null"), ["threshold", "precision", "recall", "f1"]),
+            (mt.counts_each(flags, g[:1], ys), mt.counts(one, g), ["n_chunks", "n_pos", "n_neg"]),
+        ):
+            assert value(many, i, *c) == value(single, i, *c), c
+    empty = flags.where("false")
+    assert mt.auroc_each(empty, ["session_id"], ys).count() == 0 and mt.best_f1_each(empty, [], ys).count() == 0
+
+
 def test_precedence(spark):
     a = spark.createDataFrame([("x", 1)], "session_id string, v int")
     b = spark.createDataFrame([("x", 2), ("y", 3)], "session_id string, v int")

@@ -81,9 +81,10 @@ def finite(c: Column | str) -> Column:
 
 
 def to_ms(c: Column | str) -> Column:
-    """Whole milliseconds, half away from zero; null for times that are no finite number below 1e9 s in size."""
+    """Whole milliseconds, half away from zero; null for what is no finite number or too large for doubles to tell
+    milliseconds apart (9e12 s, some 285,000 years). Seconds since 1970 are well inside."""
     x = finite(c)
-    return F.when(F.abs(x) < 1e9, F.round(x * 1000).cast("bigint"))
+    return F.when(F.abs(x) < 9e12, F.round(x * 1000).cast("bigint"))
 
 
 def first_of(df: DataFrame, aliases: list[str]) -> Column:

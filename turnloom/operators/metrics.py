@@ -77,6 +77,88 @@ def precision_at_recall(df: DataFrame, groups: list[str], tie: list[str], recall
     return j.groupBy(*groups).agg(F.max(F.when(ok, F.col("hits") / F.col("rn"))).alias("precision_at_recall"))
 
 
+def unpivoted(df: DataFrame, groups: list[str], each: list[dict[str, Column]]) -> DataFrame:
+    """A row per item of ``each`` with its number ``which``."""
+    rows = F.array(*[F.struct(F.lit(i).alias("which"), *[c.alias(n) for n, c in values.items()]) for i, values in enumerate(each)])
+    return df.select(*groups, F.explode(rows).alias("_e")).select(*groups, "_e.*")
+
+
+def counts_each(df: DataFrame, groups: list[str], ys: list[str]) -> DataFrame:
+    """Like ``counts`` for several label columns at once (null: the row doesn't count for it); columns without rows are left out."""
+    g = df.groupBy(*groups).agg(*[F.count(y).alias(f"_n{i}") for i, y in enumerate(ys)], *[F.sum(y).alias(f"_p{i}") for i, y in enumerate(ys)])
+    out = unpivoted(g, groups, [{"n_chunks": F.col(f"_n{i}"), "n_pos": F.col(f"_p{i}"), "n_neg": F.col(f"_n{i}") - F.col(f"_p{i}")} for i in range(len(ys))])
+    return out.where("n_chunks > 0")
+
+
+def by_score_each(df: DataFrame, groups: list[str], ys: list[str], score: str = "score", step: float = STEP) -> DataFrame:
+    """One row per group and distinct score: positives ``p0``, ... and rows ``n0``, ... there, and at or above it ``tp0``, ..., ``tn0``, ...
+
+    The scores are sorted once for all label columns.
+    """
+    every = [f(y).cast("bigint").alias(f"{c}{i}") for c, f in (("p", F.sum), ("n", F.count)) for i, y in enumerate(ys)]
+    per = df.groupBy(*groups, F.col(score).alias("score")).agg(*every)
+    sums = {f"t{c}{i}": F.coalesce(f"{c}{i}", F.lit(0)) for c in "pn" for i in range(len(ys))}
+    return running(per, groups, F.floor(-F.col("score") / step), [F.desc("score")], sums)
+
+
+def auroc_each(df: DataFrame, groups: list[str], ys: list[str], score: str = "score", step: float = STEP) -> DataFrame:
+    s = by_score_each(df, groups, ys, score, step)
+    sums = []
+    for i in range(len(ys)):
+        pos, neg = F.coalesce(f"p{i}", F.lit(0)), F.col(f"n{i}") - F.coalesce(f"p{i}", F.lit(0))
+        sums += [F.sum(neg * (F.col(f"tp{i}") - pos + pos / 2.0)).alias(f"_good{i}"), F.sum(pos).alias(f"_pos{i}"), F.sum(neg).alias(f"_neg{i}")]
+    out = unpivoted(s.groupBy(*groups).agg(*sums), groups, [{"n_pos": F.col(f"_pos{i}"), "n_neg": F.col(f"_neg{i}"), "auroc": F.try_divide(f"_good{i}", F.col(f"_pos{i}") * F.col(f"_neg{i}"))} for i in range(len(ys))])
+    return out.where("n_pos + n_neg > 0")
+
+
+def ranked_each(df: DataFrame, groups: list[str], tie: list[str], ys: list[str], score: str = "score", step: float = STEP) -> DataFrame:
+    """Adds rank ``rn0``, ... and hits ``hits0``, ... among the rows that count for each label column, from the highest score down."""
+    sums = {f"rn{i}": F.col(y).isNotNull().cast("int") for i, y in enumerate(ys)} | {f"hits{i}": F.coalesce(y, F.lit(0)) for i, y in enumerate(ys)}
+    return running(df, groups, F.floor(-F.col(score) / step), [F.desc(score), *tie], sums)
+
+
+def average_precision_each(df: DataFrame, groups: list[str], tie: list[str], ys: list[str], score: str = "score", step: float = STEP) -> DataFrame:
+    r = ranked_each(df, groups, tie, ys, score, step)
+    sums = []
+    for i, y in enumerate(ys):
+        sums += [F.avg(F.when(F.col(y) == 1, F.col(f"hits{i}") / F.col(f"rn{i}"))).alias(f"_ap{i}"), F.sum(y).alias(f"_p{i}"), F.count(y).alias(f"_n{i}")]
+    out = unpivoted(r.groupBy(*groups).agg(*sums), groups, [{"_n": F.col(f"_n{i}"), "ap": F.when((F.col(f"_p{i}") > 0) & (F.col(f"_p{i}") < F.col(f"_n{i}")), F.col(f"_ap{i}"))} for i in range(len(ys))])
+    return out.where("_n > 0").drop("_n")
+
+
+def precision_at_recall_each(df: DataFrame, groups: list[str], tie: list[str], recall: float, ys: list[str], score: str = "score", step: float = STEP) -> DataFrame:
+    if not 0 < recall <= 1:
+        raise ValueError("recall must be in (0, 1]")
+    r = ranked_each(df, groups, tie, ys, score, step)
+    totals = df.groupBy(*groups).agg(*[F.sum(y).alias(f"_p{i}") for i, y in enumerate(ys)], *[F.count(y).alias(f"_n{i}") for i, y in enumerate(ys)])
+    j = r.join(totals, groups) if groups else r.crossJoin(totals)  # one row a group
+    best = [F.max(F.when((F.col(f"_p{i}") > 0) & F.col(y).isNotNull() & (F.col(f"hits{i}") >= recall * F.col(f"_p{i}")), F.col(f"hits{i}") / F.col(f"rn{i}"))).alias(f"_b{i}") for i, y in enumerate(ys)]
+    g = j.groupBy(*groups).agg(*best, *[F.first(f"_n{i}").alias(f"_n{i}") for i in range(len(ys))])
+    return unpivoted(g, groups, [{"_n": F.col(f"_n{i}"), "precision_at_recall": F.col(f"_b{i}")} for i in range(len(ys))]).where("_n > 0").drop("_n")
+
+
+def at_threshold_each(df: DataFrame, groups: list[str], threshold: float, ys: list[str], score: str = "score") -> DataFrame:
+    above = F.col(score) >= threshold
+    n = lambda c: F.count(F.when(c, 1))
+    sums = [x for i, y in enumerate(ys) for x in (n(above & (F.col(y) == 1)).alias(f"_tp{i}"), n(above & (F.col(y) == 0)).alias(f"_fp{i}"), n(~above & (F.col(y) == 1)).alias(f"_fn{i}"), F.count(y).alias(f"_n{i}"))]
+    out = unpivoted(df.groupBy(*groups).agg(*sums), groups, [{"tp": F.col(f"_tp{i}"), "fp": F.col(f"_fp{i}"), "fn": F.col(f"_fn{i}"), "_n": F.col(f"_n{i}")} for i in range(len(ys))]).where("_n > 0").drop("_n")
+    out = out.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
+    return out.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def best_f1_each(df: DataFrame, groups: list[str], ys: list[str], score: str = "score", step: float = STEP) -> DataFrame:
+    """Like ``best_f1``; label columns without both classes have no row here."""
+    s = by_score_each(df, groups, ys, score, step)
+    totals = df.groupBy(*groups).agg(*[F.sum(y).alias(f"_p{i}") for i, y in enumerate(ys)], *[F.count(y).alias(f"_n{i}") for i, y in enumerate(ys)])
+    j = s.join(totals, groups) if groups else s.crossJoin(totals)  # one row a group
+    best = []
+    for i in range(len(ys)):
+        tp, n, p = F.col(f"tp{i}"), F.col(f"tn{i}"), F.col(f"_p{i}")
+        ok = (p > 0) & (p < F.col(f"_n{i}")) & (tp > 0) & (F.col(f"n{i}") > 0)
+        best.append(F.max(F.when(ok, F.struct((2.0 * tp / (n + p)).alias("f1"), F.col("score").alias("threshold"), (tp / n).alias("precision"), (tp / p).alias("recall")))).alias(f"_b{i}"))
+    return unpivoted(j.groupBy(*groups).agg(*best), groups, [{"b": F.col(f"_b{i}")} for i in range(len(ys))]).where("b is not null").select(*groups, "which", "b.threshold", "b.precision", "b.recall", "b.f1")
+
+
 def multiclass(df: DataFrame, classes: list[str], groups: list[str], tie: list[str], truth: str = "action", p: str = "p", floor: float = 1e-12) -> DataFrame:
     """Macro average precision (null unless every class has one), accuracy (first largest wins), clipped NLL.
 

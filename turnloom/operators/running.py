@@ -39,12 +39,10 @@ def extreme(df: DataFrame, keys: list[str], bucket: Column, at: str, value: Colu
     pick = F.min if least else F.max
     best = F.least if least else F.greatest
     marked = df.withColumn("_b", bucket).withColumn("_v", value)
-    near = (1 if strict else 0) * (1 if forward else -1)
-    w = Window.partitionBy(*keys, "_b").orderBy(at)
-    w = w.rangeBetween(near, Window.unboundedFollowing) if forward else w.rangeBetween(Window.unboundedPreceding, near)
+    # always from the far end up to the row: a frame that grows is kept as it is, one that shrinks is read again for every row
+    w = Window.partitionBy(*keys, "_b").orderBy(F.desc(at) if forward else F.asc(at)).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     per = marked.groupBy(*keys, "_b").agg(pick("_v").alias("_t"))
-    far = Window.partitionBy(*keys).orderBy("_b")
-    far = far.rowsBetween(1, Window.unboundedFollowing) if forward else far.rowsBetween(Window.unboundedPreceding, -1)
+    far = Window.partitionBy(*keys).orderBy(F.desc("_b") if forward else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_b", pick("_t").over(far).alias("_far"))
     joined = marked.withColumn("_near", pick("_v").over(w)).join(per, [*keys, "_b"])
     return joined.withColumn(name, best("_near", "_far")).select(*df.columns, name)

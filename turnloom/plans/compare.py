@@ -50,24 +50,27 @@ GROUPS = ["session_id", "signal_name", "kind", "horizon_ms"]
 
 
 def labelled(frames: DataFrame, events: DataFrame, durations: DataFrame, what: Compare) -> DataFrame:
-    """Frames of the signals (cropped, cut to common frames) with the label of each kind and horizon."""
+    """Frames of the signals (cropped, cut to common frames) with a label column for each kind and horizon."""
     f = frames.where(F.col("signal_name").isin(what.signals)).select("session_id", "signal_name", "frame", "value").join(durations, "session_id")
     if what.window_ms:
         f = tl.crop(f, what.window_ms, what.mode).withColumn("duration_ms", F.lit(what.window_ms).cast("bigint"))
     if what.common:
         f = tl.align(f, what.signals)
     f = f.withColumn("t_end_ms", (F.col("frame") + 1) * tl.FRAME_MS)
-    return lb.horizon_labels(f, events, what.kinds, what.horizons_ms)
+    return lb.horizon_flags(f, events, what.kinds, what.horizons_ms)
 
 
 def rows(frames: DataFrame, events: DataFrame, durations: DataFrame, what: Compare) -> DataFrame:
     """One row per session, signal, kind and horizon: counts, AUROC, average precision, best F1."""
-    scored = labelled(frames, events, durations, what).select(*GROUPS, "frame", "y", F.col("value").alias("score"))
+    ys = [f"y{i}" for i in range(len(what.kinds) * len(what.horizons_ms))]
+    by = GROUPS[:2]
+    scored = labelled(frames, events, durations, what).select(*by, "frame", *ys, F.col("value").alias("score"))
     scored = spill(scored, "scored")  # three measures read it
-    a = mt.auroc(scored, GROUPS)
-    p = mt.average_precision(scored, GROUPS, ["frame"])
-    b = mt.best_f1(scored, GROUPS).select(*GROUPS, F.col("f1").alias("best_f1"), F.col("threshold").alias("best_threshold"))
-    out = spill(a.join(p, GROUPS).join(b, GROUPS), "compared")  # the summary reads it four times
+    a = mt.auroc_each(scored, by, ys)
+    p = mt.average_precision_each(scored, by, ["frame"], ys)
+    b = mt.best_f1_each(scored, by, ys).select(*by, "which", F.col("f1").alias("best_f1"), F.col("threshold").alias("best_threshold"))
+    joined = lb.named_flags(a.join(p, [*by, "which"]).join(b, [*by, "which"], "left"), what.kinds, what.horizons_ms)
+    out = spill(joined.select(*GROUPS, "n_pos", "n_neg", "auroc", "ap", "best_f1", "best_threshold"), "compared")  # the summary reads it four times
     drop(scored)
     return out
 

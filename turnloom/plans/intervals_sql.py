@@ -18,8 +18,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 P2_SQL = """
 with given as (
-  select session_id, lower(trim(speaker, E' \\t\\n\\r\\f\\v')) as speaker, case when abs(start_s) < 1e9 then try_cast(round(start_s * 1000) as bigint) end as a,
-    case when abs(end_s) < 1e9 then try_cast(round(end_s * 1000) as bigint) end as b
+  select session_id, lower(trim(speaker, E' \\t\\n\\r\\f\\v')) as speaker, case when abs(start_s) < 9e12 then try_cast(round(start_s * 1000) as bigint) end as a,
+    case when abs(end_s) < 9e12 then try_cast(round(end_s * 1000) as bigint) end as b
   from transcript_turns
   where session_id is not null),
 usable as (select * from given where a < b and speaker <> ''),

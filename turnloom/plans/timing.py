@@ -239,19 +239,23 @@ _NEXT = """, n as (select f.session_id, f.signal_name, f.frame, f.value, f.t_end
 lab as (select n.*, h as horizon_ms, coalesce(next_ms <= t_end_ms + h, false)::int as y from n join spans using (session_id), (select unnest([500, 1000, 2000]::bigint[]) as h) where t_end_ms + h <= duration_ms)"""
 
 
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    return _labelled_signals(spark, d, "signal_name = 'surprise'")
+_YS = [f"y{i}" for i in range(len(EVENT_KINDS) * len(HORIZONS))]
 
 
-def _labelled_signals(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
-    f = v.frames(spark, d).where(which).join(v.spans(spark, d), "session_id")
-    return lb.horizon_labels(f, v.events(spark, d), EVENT_KINDS, HORIZONS)
+def _flagged(spark: SparkSession, d: str, which: str = "signal_name = 'surprise'") -> DataFrame:
+    """Frames with a label column per kind and horizon, ``score`` beside."""
+    f = v.frames(spark, d).where(which).withColumn("score", F.col("value"))
+    return lb.horizon_flags(f, v.events(spark, d), EVENT_KINDS, HORIZONS, v.spans(spark, d))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return lb.named_flags(df, EVENT_KINDS, HORIZONS)
 
 
 @query(sql("frames spans events", _NEXT + " select session_id, kind, horizon_ms, count(*) as n_chunks, cast(sum(y) as bigint) as n_pos, cast(sum(1 - y) as bigint) as n_neg from lab group by all"))
 def join_05_horizon_labels(spark, d):
     """Half-open range labels, counted per session, kind and horizon (JOIN-05, AGG-07, JOIN-15)."""
-    return mt.counts(_labelled(spark, d), ["session_id", "kind", "horizon_ms"])
+    return _named(mt.counts_each(_flagged(spark, d), ["session_id"], _YS)).select("session_id", "kind", "horizon_ms", "n_chunks", "n_pos", "n_neg")
 
 
 @query(sql("frames events", """, n as (select f.session_id, f.frame, f.t_end_ms, min(e.t_ms) as next_ms from frames f left join (select distinct session_id, t_ms from events_) e on e.session_id = f.session_id and e.t_ms > f.t_end_ms and e.t_ms <= f.t_end_ms + 2000 where signal_name = 'surprise' group by all)
@@ -275,14 +279,10 @@ _AUROC = """, s as (select kind, horizon_ms, value, sum(y) as pos, sum(1 - y) as
 c as (select *, sum(pos) over (partition by kind, horizon_ms order by value desc) as tp, sum(neg) over (partition by kind, horizon_ms order by value desc) as fp from s)"""
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.col("value"))
-
-
 @query(sql("frames spans events", _NEXT + _AUROC + """ select kind, horizon_ms, cast(sum(pos) as bigint) as n_pos, cast(sum(neg) as bigint) as n_neg, round(case when sum(pos) > 0 and sum(neg) > 0 then sum(neg * (tp - pos + pos / 2.0)) / (sum(pos) * sum(neg)) end, 6) as auroc from c group by all"""))
 def agg_01_auroc(spark, d):
     """AUROC of surprise over all sessions, by kind and horizon."""
-    return mt.auroc(_named(_labelled(spark, d)), ["kind", "horizon_ms"]).select("kind", "horizon_ms", "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
+    return _named(mt.auroc_each(_flagged(spark, d), [], _YS)).select("kind", "horizon_ms", "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
 
 
 _RANKED = """, r as (select *, row_number() over w as rn, sum(y) over (w rows unbounded preceding) as hits from lab window w as (partition by kind, horizon_ms order by value desc, session_id, frame))"""
@@ -290,14 +290,14 @@ _RANKED = """, r as (select *, row_number() over w as rn, sum(y) over (w rows un
 
 @query(sql("frames spans events", _NEXT + _RANKED + """ select kind, horizon_ms, round(case when sum(y) > 0 and sum(y) < count(*) then avg(case when y = 1 then hits / rn::double end) end, 6) as ap from r group by all"""))
 def agg_02_average_precision(spark, d):
-    return mt.average_precision(_named(_labelled(spark, d)), ["kind", "horizon_ms"], ["session_id", "frame"]).select("kind", "horizon_ms", F.round("ap", 6).alias("ap"))
+    return _named(mt.average_precision_each(_flagged(spark, d), [], ["session_id", "frame"], _YS)).select("kind", "horizon_ms", F.round("ap", 6).alias("ap"))
 
 
 @query(sql("frames spans events", _NEXT + """, t as (select kind, horizon_ms, count(*) filter (value >= 1.0 and y = 1) as tp, count(*) filter (value >= 1.0 and y = 0) as fp, count(*) filter (value < 1.0 and y = 1) as fn from lab group by all),
 q as (select *, tp / nullif(tp + fp, 0)::double as p, tp / nullif(tp + fn, 0)::double as r from t)
 select kind, horizon_ms, tp, fp, fn, round(p, 6) as "precision", round(r, 6) as recall, round(2 * p * r / nullif(p + r, 0), 6) as f1 from q"""))
 def agg_03_threshold(spark, d):
-    out = mt.at_threshold(_named(_labelled(spark, d)), ["kind", "horizon_ms"], 1.0)
+    out = _named(mt.at_threshold_each(_flagged(spark, d), [], 1.0, _YS))
     return out.select("kind", "horizon_ms", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -305,13 +305,13 @@ def agg_03_threshold(spark, d):
 select kind, horizon_ms, value as threshold, round(2.0 * tp / (tp + fp + p), 6) as f1 from c join t using (kind, horizon_ms) where p > 0 and n > 0
 qualify row_number() over (partition by kind, horizon_ms order by 2.0 * tp / (tp + fp + p) desc, value desc) = 1"""))
 def agg_04_best_f1(spark, d):
-    return mt.best_f1(_named(_labelled(spark, d)), ["kind", "horizon_ms"]).select("kind", "horizon_ms", "threshold", F.round("f1", 6).alias("f1"))
+    return _named(mt.best_f1_each(_flagged(spark, d), [], _YS)).select("kind", "horizon_ms", "threshold", F.round("f1", 6).alias("f1"))
 
 
 @query(sql("frames spans events", _NEXT + _RANKED + """, t as (select kind, horizon_ms, sum(y) as p from lab group by all)
 select kind, horizon_ms, round(max(case when p > 0 and hits >= 0.5 * p then hits / rn::double end), 6) as precision_at_recall from r join t using (kind, horizon_ms) group by all"""))
 def agg_05_precision_at_recall(spark, d):
-    return mt.precision_at_recall(_named(_labelled(spark, d)), ["kind", "horizon_ms"], ["session_id", "frame"], 0.5).select("kind", "horizon_ms", F.round("precision_at_recall", 6).alias("precision_at_recall"))
+    return _named(mt.precision_at_recall_each(_flagged(spark, d), [], ["session_id", "frame"], 0.5, _YS)).select("kind", "horizon_ms", F.round("precision_at_recall", 6).alias("precision_at_recall"))
 
 
 _PER_SESSION = """, s as (select session_id, kind, horizon_ms, value, sum(y) as pos, sum(1 - y) as neg from lab group by all),
@@ -321,7 +321,7 @@ a as (select session_id, kind, horizon_ms, case when sum(pos) > 0 and sum(neg) >
 
 @query(sql("frames spans events", _NEXT + _PER_SESSION + " select kind, horizon_ms, round(avg(auroc), 6) as mean_auroc, count(auroc) as n_sessions from a group by all"))
 def agg_08_mean_over_sessions(spark, d):
-    a = mt.auroc(_named(_labelled(spark, d)), ["session_id", "kind", "horizon_ms"])
+    a = _named(mt.auroc_each(_flagged(spark, d), ["session_id"], _YS))
     return a.groupBy("kind", "horizon_ms").agg(F.round(F.avg("auroc"), 6).alias("mean_auroc"), F.count("auroc").alias("n_sessions"))
 
 
@@ -336,7 +336,7 @@ _SIGNAL = ["signal_name", "kind", "horizon_ms"]
 @query(_by_signal("join_05_horizon_labels"))
 def join_05_labels_by_signal(spark, d):
     """Labels of every signal's frames, counted per session, signal, kind and horizon."""
-    return mt.counts(_labelled_signals(spark, d), ["session_id", *_SIGNAL])
+    return _named(mt.counts_each(_flagged(spark, d, "true"), ["session_id", "signal_name"], _YS)).select("session_id", *_SIGNAL, "n_chunks", "n_pos", "n_neg")
 
 
 @query(sql("frames events", """, n as (select f.session_id, f.signal_name, f.frame, f.t_end_ms, min(e.t_ms) as next_ms from frames f left join (select distinct session_id, t_ms from events_) e on e.session_id = f.session_id and e.t_ms > f.t_end_ms and e.t_ms <= f.t_end_ms + 2000 group by all)
@@ -349,35 +349,35 @@ def join_06_next_event_by_signal(spark, d):
 @query(_by_signal("agg_01_auroc"))
 def agg_01_auroc_by_signal(spark, d):
     """AUROC of every signal over all sessions that have it, by kind and horizon."""
-    return mt.auroc(_named(_labelled_signals(spark, d)), _SIGNAL).select(*_SIGNAL, "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
+    return _named(mt.auroc_each(_flagged(spark, d, "true"), ["signal_name"], _YS)).select(*_SIGNAL, "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
 
 
 @query(_by_signal("agg_02_average_precision"))
 def agg_02_average_precision_by_signal(spark, d):
-    return mt.average_precision(_named(_labelled_signals(spark, d)), _SIGNAL, ["session_id", "frame"]).select(*_SIGNAL, F.round("ap", 6).alias("ap"))
+    return _named(mt.average_precision_each(_flagged(spark, d, "true"), ["signal_name"], ["session_id", "frame"], _YS)).select(*_SIGNAL, F.round("ap", 6).alias("ap"))
 
 
 @query(_by_signal("agg_03_threshold"))
 def agg_03_threshold_by_signal(spark, d):
-    out = mt.at_threshold(_named(_labelled_signals(spark, d)), _SIGNAL, 1.0)
+    out = _named(mt.at_threshold_each(_flagged(spark, d, "true"), ["signal_name"], 1.0, _YS))
     return out.select(*_SIGNAL, "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(_by_signal("agg_04_best_f1"))
 def agg_04_best_f1_by_signal(spark, d):
-    best = mt.best_f1(_named(_labelled_signals(spark, d)), _SIGNAL)
+    best = _named(mt.best_f1_each(_flagged(spark, d, "true"), ["signal_name"], _YS))
     return best.select(*_SIGNAL, "threshold", F.round("f1", 6).alias("f1"))
 
 
 @query(_by_signal("agg_05_precision_at_recall"))
 def agg_05_precision_at_recall_by_signal(spark, d):
-    out = mt.precision_at_recall(_named(_labelled_signals(spark, d)), _SIGNAL, ["session_id", "frame"], 0.5)
+    out = _named(mt.precision_at_recall_each(_flagged(spark, d, "true"), ["signal_name"], ["session_id", "frame"], 0.5, _YS))
     return out.select(*_SIGNAL, F.round("precision_at_recall", 6).alias("precision_at_recall"))
 
 
 @query(_by_signal("agg_08_mean_over_sessions"))
 def agg_08_mean_over_sessions_by_signal(spark, d):
-    a = mt.auroc(_named(_labelled_signals(spark, d)), ["session_id", *_SIGNAL])
+    a = _named(mt.auroc_each(_flagged(spark, d, "true"), ["session_id", "signal_name"], _YS))
     return a.groupBy(*_SIGNAL).agg(F.round(F.avg("auroc"), 6).alias("mean_auroc"), F.count("auroc").alias("n_sessions"))
 
 

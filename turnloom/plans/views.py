@@ -11,7 +11,7 @@ from turnloom.runtime import table
 ELAPSED_BOUNDS, STRATA = [1.0, 3.0], ["<1s", "1-<3s", ">=3s"]
 
 _ID = "regexp_replace(regexp_replace(lower(trim(session_id)), ':(mid|first)(180|300|120|60)?$', ''), '^(candor_|dc_|duplexchat_|duplex_)', '')"
-_MS = "case when abs({0}) < 1e9 then try_cast(round({0} * 1000) as bigint) end"
+_MS = "case when abs({0}) < 9e12 then try_cast(round({0} * 1000) as bigint) end"
 _OK = "case when {0} is not null and not isnan({0}) and not isinf({0}) then {0} end"
 
 
@@ -34,8 +34,10 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Length of each session by its series."""
-    return frames(spark, folder).groupBy("session_id").agg(F.max("t_end_ms").alias("duration_ms"))
+    """Length of each session by its series, from the raw points: repeats don't matter for a maximum."""
+    t = table(spark, folder, "chunk_signals").where(F.col("signal_name").isNotNull() & finite("signal_value").isNotNull() & F.col("frame_idx").isNotNull())
+    t = t.groupBy(norm_session("session_id").alias("session_id")).agg(((F.max("frame_idx").cast("bigint") + 1) * 80).alias("duration_ms"))
+    return t.where("session_id is not null")
 
 
 def checkpoints(spark: SparkSession, folder: str) -> DataFrame:
