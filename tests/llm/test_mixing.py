@@ -28,9 +28,22 @@ def test_tilt_runs_from_shares_to_targets():
 def test_plan():
     goals = [{"source": s, "target_bp": bp, "max_repeats": r} for s, bp, r in (("a", 5000, 1), ("b", 4000, 2), ("c", 1000, 3))]
     plan = {r["source"]: r for r in plan_targets({"a": 900, "b": 100}, 1000, goals).rows}
-    assert plan["a"]["budget"] == 500 and not plan["a"]["falls_short"]
-    assert plan["b"]["budget"] == 200 and plan["b"]["falls_short"]
-    assert plan["c"]["budget"] == 0 and plan["c"]["falls_short"]
+    assert plan["a"]["budget"] == 500 and plan["a"]["exponent"] == 1 and plan["a"]["weight"] == 0.5
+    assert plan["b"]["budget"] == 200 and 0 < plan["b"]["exponent"] < 1
+    assert plan["c"]["budget"] == 0
+
+
+def test_the_repetition_limit_binds_the_exponent():
+    """Where a source stops, its weight is just what its repeats allow; a target met exactly isn't a shortfall."""
+    tokens = {"a": 700, "b": 200, "c": 100}
+    goals = [{"source": s, "target_bp": bp, "max_repeats": r} for s, bp, r in (("a", 2000, 1), ("b", 4000, 2), ("c", 4000, 3))]
+    plan = {r["source"]: r for r in plan_targets(tokens, 1000, goals).rows}
+    assert plan["a"]["exponent"] == plan["b"]["exponent"] == 1 and plan["b"]["budget"] == 400
+    x = plan["c"]["exponent"]
+    p, q = {s: n / 1000 for s, n in tokens.items()}, {"a": 0.2, "b": 0.4, "c": 0.4}
+    assert 0 < x < 1 and tilt(p, q, x)["c"] == pytest.approx(0.3) and plan["c"]["budget"] == 300
+    none = plan_targets({"a": 10}, 10, [{"source": "a", "target_bp": 10_000, "max_repeats": 0}]).rows[0]
+    assert none["exponent"] == 0 and none["budget"] == 0
 
 
 def test_mixture(spark):
@@ -42,7 +55,7 @@ def test_mixture(spark):
     total = sum(n or 0 for *_, n in rows)
     assert not any(r["falls_short"] for r in got.values())
     for s, share in (("a", 0.2), ("b", 0.6), ("c", 0.2)):
-        assert 0 <= share * total - got[s]["used_tokens"] <= 20 and got[s]["actual_share"] == pytest.approx(share, abs=1e-3)
+        assert 0 <= share * total - got[s]["used_tokens"] <= 20 and got[s]["actual_share"] == pytest.approx(share, abs=1e-3) and 0 <= share - got[s]["share_of_total"] <= 20 / total
     counts = uses.groupBy("source").agg(F.min("n_uses").alias("lo"), F.max("n_uses").alias("hi"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).collect()
     assert all(r["hi"] - r["lo"] <= 1 and r["n"] == r["d"] and r["hi"] <= 4 for r in counts)
 

@@ -60,46 +60,53 @@ def temperature_weights(tokens: dict[str, int], target_entropy: float, lowest: f
 
 @dataclass
 class Plan:
-    """Driver-side plan, one row per source: source, tokens, target_share, max_repeats, weight, budget, falls_short."""
+    """Driver-side plan, one row per source: source, tokens, target_bp, max_repeats, exponent, weight, budget."""
 
     rows: list[dict]
-    exponent: float
     total: int
 
 
-def plan_targets(tokens: dict[str, int], total: int, targets: list[dict], steps: int = 100) -> Plan:
-    """Budgets for prescribed shares of ``total``; the exponent is bisected to the first whose relative entropy to the targets vanishes.
+def plan_targets(tokens: dict[str, int], total: int, targets: list[dict], steps: int = 200) -> Plan:
+    """Budgets for prescribed shares of ``total``. The exponent of each source is bisected to its repetition limit.
 
-    A source that can't reach its share within its repeats gets all it can and falls short (compared in whole numbers).
+    Raised from 0 (the data's own shares) to 1 (the targets), the weight of a source times ``total`` reaches what its
+    repeats allow at one place at most: the logarithm of a weight is concave in the exponent, and the own share needs one
+    pass at most. A source whose limit binds below 1 stops there, with all its repeats as its budget; the others go on to
+    their targets. Where ``max_repeats`` is 0 the exponent is 0 and so is the budget.
     """
     q = {t["source"]: t["target_bp"] / 10_000 for t in targets}
-    p = {s: max(tokens.get(s, 0), 0) / (sum(tokens.get(r, 0) for r in q) or 1) for s in q}
+    whole = sum(max(tokens.get(s, 0), 0) for s in q) or 1
+    p = {s: max(tokens.get(s, 0), 0) / whole for s in q}
     reach = sum(v for s, v in q.items() if p[s] > 0)  # sources without a token get no weight; the others keep their share of the total
-    there = {s: v / reach for s, v in q.items() if p[s] > 0 and v > 0}
-    x = 1 - bisect(lambda y: divergence(there, tilt(p, q, 1 - y)) <= 1e-12, 0.0, 1.0, steps) if there else 1.0
-    tilted = tilt(p, q, x)
     rows = []
     for t in targets:
         s, have = t["source"], tokens.get(t["source"], 0)
-        short = have * t["max_repeats"] * 10_000 < t["target_bp"] * total
-        want = tilted[s] * reach * total
-        rows.append({"source": s, "tokens": have, "target_share": q[s], "max_repeats": t["max_repeats"], "weight": tilted[s], "budget": have * t["max_repeats"] if short else min(have * t["max_repeats"], round(want)), "falls_short": short})
-    return Plan(rows, x, total)
+        limit = have * t["max_repeats"]
 
+        def fits(x: float, s: str = s, limit: int = limit, bp: int = t["target_bp"]) -> bool:
+            # the end is compared in whole numbers, so that a target met exactly counts as met
+            return bp * total <= limit * 10_000 if x >= 1 else tilt(p, q, x)[s] * reach * total <= limit
 
-def realised(plan: Plan, used: dict[str, int], target_bp: dict[str, int]) -> dict[str, bool]:
+        x = bisect(fits, 0.0, 1.0, steps) if have > 0 and q[s] > 0 else 1.0
+        weight = tilt(p, q, x)[s] * reach if x < 1 else q[s] * (p[s] > 0)
+        rows.append({"source": s, "tokens": have, "target_bp": t["target_bp"], "max_repeats": t["max_repeats"], "exponent": x, "weight": weight, "budget": limit if x < 1 else min(limit, t["target_bp"] * total // 10_000)})
+    return Plan(rows, total)
+
+
+def realised(plan: Plan, used: dict[str, int]) -> dict[str, bool]:
     """Whether each source falls short in the mixture as it was spent: all its repeats are used and its target isn't reached.
 
-    The plan's whole-number comparison has to say the same; anything else is an error.
+    The exact check after it: a source that falls short lacks what its tokens lack in whole numbers, and any other one is
+    within its budget. Anything else is an error.
     """
     out = {}
     for r in plan.rows:
         s, n = r["source"], used.get(r["source"], 0)
         if n > r["budget"]:
             raise ValueError(f"{s}: {n} tokens used of a budget of {r['budget']}")
-        out[s] = n == r["tokens"] * r["max_repeats"] and n * 10_000 < target_bp[s] * plan.total
-        if out[s] != r["falls_short"]:
-            raise ValueError(f"{s}: {n} tokens used, which is not what the plan says of its share")
+        out[s] = n == r["tokens"] * r["max_repeats"] and n * 10_000 < r["target_bp"] * plan.total
+        if out[s] != (r["tokens"] * r["max_repeats"] * 10_000 < r["target_bp"] * plan.total):
+            raise ValueError(f"{s}: {n} tokens used, which is not what its repeats allow")
     return out
 
 
@@ -136,12 +143,14 @@ def _by_source(docs: DataFrame) -> tuple[dict[str, int], int]:
 
 
 def mix_to_targets(docs: DataFrame, targets: DataFrame, seed: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(uses, report) of a mixture as large as all documents together.
+    """(uses, report) of a mixture in which each source has its share of the size of all documents together.
 
     ``docs``: doc_id, source, n_tokens; ``targets``: source, target_bp, max_repeats. Source names are compared trimmed
     and lower-cased; documents of other or no sources count for the total but aren't used; null sizes count as 0; other
-    columns are dropped. Empty input: no uses, and every source with a target above 0 falls short of nothing.
-    Report: source, tokens, target_share, actual_share (of the mixture's tokens), used_tokens, max_repeats, falls_short.
+    columns are dropped. Empty input: no uses, and every source with a target above 0 falls short of nothing. A source
+    that doesn't fall short is used to within one document of its share; what others lack is not given to it.
+    Report: source, tokens, max_repeats, target_share, exponent, weight, budget, used_tokens, share_of_total (used tokens
+    over the tokens of all documents), actual_share (over those of the mixture), falls_short.
     """
     spark = docs.sparkSession
     clean = spill(docs.select("doc_id", tidy("source").alias("source"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens")), "sizes")
@@ -150,17 +159,19 @@ def mix_to_targets(docs: DataFrame, targets: DataFrame, seed: int = 3) -> tuple[
     if len(goals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} targets")
     plan = plan_targets(tokens, total, [r.asDict() for r in goals])
-    schema = "source string, tokens bigint, target_share double, max_repeats int, weight double, budget bigint, falls_short boolean"
-    table = spark.createDataFrame([tuple(r.values()) for r in plan.rows], schema)
+    table = spark.createDataFrame([(r["source"], r["tokens"], r["budget"]) for r in plan.rows], "source string, tokens bigint, budget bigint")
     uses = spill(spend(clean, table, seed=seed), "uses")
     sums = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("n")).collect()  # sources of the plan only
     used = {r["source"]: r["n"] for r in sums}
     whole = sum(used.values())
-    short = realised(plan, used, {g["source"]: g["target_bp"] for g in goals})
-    rows = [tuple((r | {"falls_short": short[r["source"]]}).values()) + (used.get(r["source"], 0),) for r in plan.rows]
-    report = spark.createDataFrame(rows, schema + ", used_tokens bigint")
-    report = report.select("source", "tokens", "target_share", F.try_divide(F.col("used_tokens").cast("double"), F.lit(float(whole))).alias("actual_share"), "used_tokens", "max_repeats", "falls_short")
-    return uses, report
+    short = realised(plan, used)
+    share = lambda n, of: n / of if of else None
+    rows = [
+        (r["source"], r["tokens"], r["max_repeats"], r["target_bp"] / 10_000, r["exponent"], float(r["weight"]), r["budget"], n := used.get(r["source"], 0), share(n, total), share(n, whole), short[r["source"]])
+        for r in plan.rows
+    ]
+    schema = "source string, tokens bigint, max_repeats int, target_share double, exponent double, weight double, budget bigint, used_tokens bigint, share_of_total double, actual_share double, falls_short boolean"
+    return uses, spark.createDataFrame(rows, schema)
 
 
 def mix_by_temperature(docs: DataFrame, target_entropy_share: float = 0.9, max_repeats: int = 4, seed: int = 3) -> tuple[DataFrame, DataFrame]:
