@@ -42,7 +42,7 @@ def test_containers(spark, task_rows):
     rng = random.Random(task_rows)
     sizes = [rng.choice([0, 1, 7, 100, 101, 250, 300, rng.randrange(1, 100), rng.randrange(1, 100)]) for _ in range(1200)]
     df = spark.createDataFrame([*enumerate(sizes), (5000, None), (5001, -3), (None, 4)], "item long, size long").withColumn("bin", F.lit("clash")).withColumn("part", F.lit(1))
-    out = pack(df, 100, task_rows, fan_in=2).collect()
+    out = pack(df, 100, task_rows).collect()
     by_item, fill = {}, {}
     for r in out:
         by_item.setdefault(r["item"], []).append(r)
@@ -67,3 +67,22 @@ def test_tokens_and_found(spark, tiny):
     assert got[1] == 3 and got[2] == got[3] == 0 and got[4] > 2048
     sizes = count_tokens(spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text"))
     assert {r[0] for r in p7_found(spark, tiny).collect()} == {r["doc_id"] for r in sizes.where("n_tokens > 2048").collect()}
+
+
+def test_no_run_holds_more_than_its_share(spark, monkeypatch):
+    """Items that can't be combined leave nearly all bins open: the levels end instead of gathering them in one task."""
+    from turnloom.llm import packing
+
+    seen = []
+    level = packing._level
+    monkeypatch.setattr(packing, "_level", lambda items, capacity, parts, seed, name: seen.append((items.count(), parts)) or level(items, capacity, parts, seed, name))
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.randrange(60, 100)) for i in range(3000)], "item long, size long")
+    out = pack(df, 100, 200)
+    assert out.count() == 3000 and out.select("container").distinct().count() == 3000
+    assert len(seen) == 2 and all(n <= 220 * parts for n, parts in seen)
+    seen.clear()
+    mixed = spark.createDataFrame([(i, rng.randrange(1, 60)) for i in range(3000)], "item long, size long")
+    fills = pack(mixed, 100, 200).groupBy("container").agg(F.sum("size").alias("size"))
+    assert fills.where("size > 100").isEmpty() and fills.agg(F.avg("size")).first()[0] > 95
+    assert all(n <= 240 * parts for n, parts in seen)

@@ -2,7 +2,9 @@
 
 ``N(g)`` is the number of open bins with gap g. Each item goes where the sum of N(g)^2 becomes smallest, which keeps
 every gap about equally rare and so avoids gaps that no later item fits. Partitions pack their own items; the bins they
-leave open merge upward as items of their own, so the waste doesn't grow with the number of partitions.
+leave open merge upward as items of their own, so the waste doesn't grow with the number of partitions. A level has as many
+runs as its open bins need, and the levels end with a single run or where bins no longer combine, so no task packs more
+than its share.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from turnloom.runtime import drop, spill
 
 #: Records that one task packs; the tables are split so that no task gets many more.
 TASK_ROWS = 20_000
+#: Share of the open bins that a level has to close or join; below it they are too full to be combined with each other.
+LEAST_GAIN = 0.05
 
 
 class SumOfSquares:
@@ -77,7 +81,7 @@ def _level(items: DataFrame, capacity: int, parts: int, seed: int, name: str) ->
     return spill(done, name)
 
 
-def pack(items: DataFrame, capacity: int = 2048, task_rows: int = TASK_ROWS, fan_in: int = 16, seed: int = 5) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, task_rows: int = TASK_ROWS, seed: int = 5) -> DataFrame:
     """Container of each piece of each item: (item, piece, size, container).
 
     ``items``: item (a whole number, unique), size (a whole number). Only items above the capacity are split: into full
@@ -98,16 +102,20 @@ def pack(items: DataFrame, capacity: int = 2048, task_rows: int = TASK_ROWS, fan
     named = packed.withColumn("container", F.concat_ws("-", F.lit("L0"), "part", "bin"))
     open_bins = named.groupBy("container").agg(F.sum("size").alias("size")).where(F.col("size") < capacity)
     open_bins = spill(open_bins.select("container", F.col("container").alias("now"), "size"), "bins")
-    level = 0
-    while parts > 1:  # open bins are the items of the next level, until one run holds them all
+    level, left = 0, open_bins.count() if parts > 1 else 0
+    while parts > 1 and left > 1:  # open bins are the items of the next level, in runs of at most about task_rows
         level += 1
-        parts = max(1, -(-parts // fan_in))
+        parts = max(1, -(-left // task_rows))
         fill = open_bins.groupBy(F.col("now").alias("item")).agg(F.sum("size").alias("size")).where(F.col("size") < capacity)
         merged = _level(fill.select("item", F.lit(0).cast("bigint").alias("piece"), "size"), capacity, parts, seed + level, "merged")
         into = merged.select(F.col("item").alias("now"), F.concat_ws("-", F.lit(f"L{level}"), "part", "bin").alias("into"))
         after = spill(open_bins.join(into, "now", "left").select("container", F.coalesce("into", "now").alias("now"), "size"), "bins")
         drop(open_bins)
         open_bins = after
+        still = open_bins.groupBy("now").agg(F.sum("size").alias("size")).where(F.col("size") < capacity).count()
+        if parts == 1 or still > left * (1 - LEAST_GAIN):
+            break  # what is left fits nothing else: another level would only move it
+        left = still
     if level:
         named = named.join(open_bins.select("container", "now"), "container", "left").withColumn("container", F.coalesce("now", "container"))
     return none.unionByName(full).unionByName(named.select("item", "piece", "size", "container"))
