@@ -63,3 +63,24 @@ def test_found_follows_from_the_report(spark, tiny):
     report = p4_report(spark, tiny)
     assert report.where("taken <> least(wanted, available)").count() == 0
     assert p4_found(spark, tiny).count() == report.where("available < wanted").count() > 0
+
+
+def test_a_lineage_with_half_of_all_rows(spark):
+    """The cap takes the same records whether a group is ranked in shares or at once."""
+    from turnloom.llm import cube
+
+    rows = [(i, "a", "x" if i % 2 else f"l{i % 40}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, source string, lineage string")
+    goals = spark.createDataFrame([("a", 10000, 0, 30)], "source string, target_bp int, min_rows int, lineage_cap int")
+    picked, report = balanced_sample(df, goals, ["source"], "id", "lineage", size_div=10)
+    r = report.first()
+    assert r["wanted"] == 400 and r["available"] == 30 * 21 and r["taken"] == 400 and r["actual_share"] == 1.0 == r["target_share"]
+    assert picked.groupBy("lineage").count().agg({"count": "max"}).first()[0] <= 30
+    first = sorted(r["id"] for r in picked.collect())
+    shares, cube.SHARES = cube.SHARES, 1
+    try:
+        assert sorted(r["id"] for r in balanced_sample(df, goals, ["source"], "id", "lineage", size_div=10)[0].collect()) == first
+    finally:
+        cube.SHARES = shares
+    m = {(r["margin"], r["value"]): r["taken"] for r in cube.margins(report, ["source"]).collect()}
+    assert m == {("source", "a"): 400}

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from turnloom.runtime import spill
 
+#: Into how many shares a group is cut before its first records are ranked.
+SHARES = 64
+
 STATE = "category bigint, id bigint, mass bigint, whole bigint"
 
 
@@ -110,7 +113,9 @@ def balanced_sample(
     max(min_rows, target_bp * S div 10000) with S = records div ``size_div``; candidates are at most ``lineage_cap``
     records of each group, in the order of a hash. Rows with a null in id, category or group are left out. Other
     columns are dropped. No rows: an empty sample and a report of what is missing.
-    Sample: category columns, id_col, group. Report: category columns, target_bp, wanted, available, taken, residual.
+    Sample: category columns, id_col, group. Report: category columns, target_bp, wanted, available, taken, residual,
+    target_share (of the targets) and actual_share (of the sample; null if it is empty). Each category's total is kept
+    exactly, so every margin (a source, a stratum) is balanced as well: see ``margins``.
     """
     one = rows.select(F.col(id_col).cast("bigint").alias("id"), *category, F.col(group).alias("grp")).dropna()
     one = one.groupBy("id").agg(F.min(F.struct(*category, "grp")).alias("r")).select("id", "r.*")
@@ -119,9 +124,12 @@ def balanced_sample(
     goals = targets.select(*category, "target_bp", "min_rows", "lineage_cap").dropna()
     goals = goals.withColumn("wanted", F.greatest(F.col("min_rows").cast("bigint"), F.expr(f"(target_bp * bigint({size})) div 10000")))
     goals = goals.withColumn("category", F.row_number().over(Window.orderBy(*category)).cast("bigint"))  # targets are a small fixed table
-    order = Window.partitionBy("category", "grp").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    in_goal = one.join(goals.select(*category, "category", "lineage_cap", "wanted"), category)
-    candidates = spill(in_goal.withColumn("n", F.row_number().over(order)).where("n <= lineage_cap").select("category", "id", "wanted"), "candidates")
+    # the first of each group in the order of a hash: of every share of a group first, so that a large one is ranked by many tasks
+    in_goal = one.join(goals.select(*category, "category", "lineage_cap", "wanted"), category).withColumn("h", F.xxhash64("id", F.lit(seed)))
+    in_goal = in_goal.withColumn("share", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(SHARES)))
+    for by in (["category", "grp", "share"], ["category", "grp"]):
+        in_goal = in_goal.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).where("n <= lineage_cap")
+    candidates = spill(in_goal.select("category", "id", "wanted"), "candidates")
     available = candidates.groupBy("category").agg(F.count(F.lit(1)).alias("available"))
     units = candidates.join(available, "category").select("category", "id", F.least("wanted", "available").alias("mass"), F.col("available").alias("whole"))
     sample = spill(cube_sample(units, seed), "sample")
@@ -129,10 +137,22 @@ def balanced_sample(
     report = goals.join(available, "category", "left").join(taken, "category", "left")
     report = report.select(*category, "target_bp", "wanted", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("available", "taken")])
     report = report.withColumn("residual", F.col("taken") - F.col("wanted"))
+    sums = report.agg(F.sum("target_bp").alias("_bp"), F.sum("taken").alias("_taken"))
+    report = report.crossJoin(sums).withColumn("target_share", F.try_divide("target_bp", "_bp")).withColumn("actual_share", F.try_divide("taken", "_taken")).drop("_bp", "_taken")  # one row
     picked = one.join(sample.select("id"), "id").select(*category, F.col("id").alias(id_col), F.col("grp").alias(group))
     return picked, report
 
 
+def margins(report: DataFrame, category: list[str]) -> DataFrame:
+    """The report's counts and shares by each category column alone: margin, value, wanted, available, taken, residual, target_share, actual_share."""
+    out = None
+    for c in category:
+        sums = [F.sum(x).alias(x) for x in ("wanted", "available", "taken", "residual", "target_share", "actual_share")]
+        part = report.groupBy(F.lit(c).alias("margin"), F.col(c).cast("string").alias("value")).agg(*sums)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def stratum(c: Column | str) -> Column:
     """Elapsed time as the targets name it."""
     x = F.col(c) if isinstance(c, str) else c
