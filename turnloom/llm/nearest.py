@@ -21,39 +21,32 @@ from turnloom.functions.columns import finite
 SCHEMA = "left_id bigint, right_id bigint, series string, distance double"
 
 
-def _match(entity: np.ndarray, t: np.ndarray, is_left: np.ndarray, ids: np.ndarray, series: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of left records and of their nearest right record, for every series of the entity. Input sorted by entity, t."""
-    right, left = np.flatnonzero(~is_left), np.flatnonzero(is_left)
-    if not len(right) or not len(left):
-        return left[:0], left[:0]
-    lane = entity.astype(np.int64) * (int(series.max()) + 1) + series  # of right records
-    lanes = np.unique(lane[right])
-    width = int(series.max()) + 1
-    first = np.searchsorted(lanes, entity[left].astype(np.int64) * width)
-    count = np.searchsorted(lanes, (entity[left].astype(np.int64) + 1) * width) - first
-    who = np.repeat(left, count)  # one row per left record and series of its entity
-    step = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-    want = lanes[np.repeat(first, count) + step]
-    # right records by series and time; the pointer of each left record is where its time falls among them
-    order = right[np.lexsort((ids[right], right, lane[right]))]
-    place = np.lexsort((np.concatenate([order, who]), np.concatenate([lane[order], want])))
-    is_right = place < len(order)
-    after = np.cumsum(is_right)  # right records up to here
-    asked = ~is_right
-    rows, pointer = place[asked] - len(order), after[asked]
-    who, want = who[rows], want[rows]
-    opens = np.ones(len(order), bool)  # the first of several right records at one time stands for them
-    opens[1:] = (lane[order[1:]] != lane[order[:-1]]) | (t[order[1:]] != t[order[:-1]])
-    stand_in = np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))
-    best, gap = np.full(len(who), -1), np.full(len(who), np.inf)
-    for neighbour in (pointer - 1, pointer):  # the earlier one first: it wins a tie
-        ok = (neighbour >= 0) & (neighbour < len(order))
-        r = order[stand_in[np.where(ok, neighbour, 0)]]
-        d = np.abs(t[r] - t[who])
-        better = ok & (lane[r] == want) & (d <= tolerance) & (d < gap)
-        best[better], gap[better] = r[better], d[better]
-    ok = best >= 0
-    return who[ok], best[ok]
+def _match(entity: np.ndarray, t: np.ndarray, is_left: np.ndarray, series: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of left records and of their nearest right record, for every series of the entity.
+
+    Input sorted by entity, t, right before left, id: nothing is sorted again. Of each series one pointer goes along the
+    merged stream; what it has passed last and what it comes to next are the two neighbours of a left record.
+    """
+    left = np.flatnonzero(is_left)
+    who, best = [left[:0]], [left[:0]]
+    for s in np.unique(series[~is_left]) if len(left) else []:
+        mine = ~is_left & (series == s)
+        right = np.flatnonzero(mine)
+        pointer = np.cumsum(mine)[left]  # right records of the series up to each left record
+        opens = np.ones(len(right), bool)  # the first of several right records at one time stands for them
+        opens[1:] = (entity[right[1:]] != entity[right[:-1]]) | (t[right[1:]] != t[right[:-1]])
+        stand_in = np.maximum.accumulate(np.where(opens, np.arange(len(right)), 0))
+        found, gap = np.full(len(left), -1), np.full(len(left), np.inf)
+        for neighbour in (pointer - 1, pointer):  # the earlier one first: it wins a tie
+            ok = (neighbour >= 0) & (neighbour < len(right))
+            r = right[stand_in[np.where(ok, neighbour, 0)]]
+            d = np.abs(t[r] - t[left])
+            better = ok & (entity[r] == entity[left]) & (d <= tolerance) & (d < gap)
+            found[better], gap[better] = r[better], d[better]
+        ok = found >= 0
+        who.append(left[ok])
+        best.append(found[ok])
+    return np.concatenate(who), np.concatenate(best)
 
 
 def _merge(tolerance: float):
@@ -80,7 +73,7 @@ def _merge(tolerance: float):
         entity = np.cumsum(fresh) - 1
         codes = pc.dictionary_encode(pc.fill_null(rows["series"], "")).combine_chunks()
         series = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        left, right = _match(entity, t, is_left, ids, series, tolerance)
+        left, right = _match(entity, t, is_left, series, tolerance)
         open_ = np.zeros(len(t), bool)
         keep = np.zeros(len(t), bool)
         if not over:  # the last entity may go on: left records that a coming right record may reach are not settled
