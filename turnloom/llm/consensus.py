@@ -91,6 +91,31 @@ def reweighted_votes(
     return consensus, trust, votes
 
 
+def last_details(answers: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(item, annotator, confidence, alternates) of each original assignment by its last answer.
+
+    Confidence outside 1 to 5 is null; alternates are trimmed, lower-cased and of the known actions, null alternates are none.
+    """
+    tidied = F.transform(F.coalesce("also_acceptable", F.array().cast("array<string>")), lambda a: tidy(a))
+    alternates = F.array_distinct(F.filter(tidied, lambda a: a.isin(ACTIONS)))
+    last = answers.where("assignment_id is not null").groupBy("assignment_id").agg(F.max_by(F.struct(F.when(F.col("confidence").between(1, 5), F.col("confidence")).alias("confidence"), alternates.alias("alternates")), F.struct("submitted_at", tidy("action"))).alias("d"))
+    asked = assignments.where("not is_repeat and assignment_id is not null").select("assignment_id", F.col("item_id").alias("item"), F.col("annotator_id").alias("annotator")).distinct()
+    return asked.join(last, "assignment_id").select("item", "annotator", "d.confidence", "d.alternates")
+
+
+def calibration(consensus: DataFrame, votes: DataFrame, details: DataFrame) -> DataFrame:
+    """Per annotator: how often the answer is the consensus, how often the consensus is at least among the alternates, and the mean
+    confidence of both kinds of answers (null where there are none). These don't weigh a vote; they tell what it is worth.
+    """
+    d = details.groupBy("item", "annotator").agg(F.max("confidence").alias("confidence"), F.max("alternates").alias("alternates"))
+    j = votes.join(consensus.select("item", F.col("answer").alias("best")), "item").join(d, ["item", "annotator"], "left")
+    agrees = F.col("answer") == F.col("best")
+    near = ~agrees & F.coalesce(F.array_contains("alternates", F.col("best")), F.lit(False))
+    return j.groupBy("annotator").agg(
+        F.avg(agrees.cast("double")).alias("agreed"), F.avg(near.cast("double")).alias("acceptable"), F.avg(F.when(agrees, F.col("confidence"))).alias("confidence_agreed"), F.avg(F.when(~agrees, F.col("confidence"))).alias("confidence_differed")
+    )
+
+
 def alpha(votes: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """Krippendorff's nominal alpha for any number of ratings per item: chance-corrected, missing ratings allowed.
 
