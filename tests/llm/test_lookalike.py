@@ -71,3 +71,24 @@ def test_columns_and_rows_stay(spark):
     out = consistent_text(df)
     assert out.columns == ["doc_id", "text", "id", "form"] and out.count() == 2
     assert np.all([r["form"] == "a" for r in out.select(F.col("form")).collect()])
+
+
+def test_classes_have_a_row_per_document(spark):
+    from turnloom.llm.lookalike import lookalike_classes, lookalike_members
+
+    rows = [(5, "caf\u00e9"), (3, "cafe\u0301"), (9, "caf\u00e9"), (1, "other"), (2, None), (4, "")]
+    got = lookalike_classes(lookalike_members(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted(tuple(r) for r in got) == [(3, 3, 3, 2), (5, 3, 3, 2), (9, 3, 3, 2)]
+
+
+def test_bytes_that_are_no_text_and_lone_surrogates():
+    import numpy as np
+    import pyarrow as pa
+
+    from turnloom.llm.lookalike import _code_points, _strings
+
+    broken = pa.array([b"ab", b"\xff\xfec", b"\xc3\xa9"], pa.binary()).view(pa.string())
+    cps, row = _code_points(broken)
+    assert row.tolist() == [0, 0, 1, 1, 1, 2] and "".join(map(chr, cps)) == "ab\ufffd\ufffdc\u00e9"
+    out = _strings(np.array([97, 0xD800, 98], np.uint32), np.array([0, 0, 1]), 2, pa.array([True, True]))
+    assert out.to_pylist() == ["a\ufffd", "b"]

@@ -191,13 +191,21 @@ def _code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = (raw & 0xC0) != 0x80
     before = np.concatenate([[0], np.cumsum(starts)])
     bounds = before[offsets - offsets[0]]
-    cps = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    try:
+        cps = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    except UnicodeDecodeError:  # bytes that are no text become U+FFFD, text by text, so that the rows stay apart
+        ends = (offsets - offsets[0]).tolist()
+        data = raw.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        cps = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     return cps, np.repeat(np.arange(len(column), dtype=np.int32), np.diff(bounds))
 
 
 def _strings(cps: np.ndarray, row: np.ndarray, n: int, valid: pa.Array) -> pa.Array:
     """The inverse: one encoding for the whole column, then offsets."""
-    raw = cps.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
+    cps = np.where((cps >= 0xD800) & (cps < 0xE000), 0xFFFD, cps)  # lone surrogates can't be stored
+    raw = cps.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     width = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, weights=width, minlength=n).astype(np.int64))])
     plain = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw)])
@@ -263,3 +271,10 @@ def lookalike_pairs(members: DataFrame) -> DataFrame:
     a = mixed.select("form", F.col("id").alias("doc_a"), F.col("stored").alias("sa"))
     b = mixed.select("form", F.col("id").alias("doc_b"), F.col("stored").alias("sb"))
     return a.join(b, "form").where("doc_a < doc_b and sa <> sb").select("doc_a", "doc_b")
+
+
+def lookalike_classes(members: DataFrame) -> DataFrame:
+    """(doc_id, representative, n_documents, n_spellings) of the documents whose form is stored in more than one way: one row per document."""
+    ends = members.groupBy("form", "stored").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = ends.groupBy("form").agg(F.min("first").alias("representative"), F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_spellings")).where("n_spellings > 1")
+    return members.join(classes, "form").select(F.col("id").alias("doc_id"), "representative", "n_documents", "n_spellings")
