@@ -78,3 +78,16 @@ def test_against_brute_force(spark, top, batch):
 
 def test_empty(spark):
     assert periods_and_gaps(spark.createDataFrame([], IV), ["session_id", "speaker"]).count() == 0
+
+
+def test_long_intervals_have_few_blocks(spark):
+    """A year, and times in seconds since 1970: the level of the largest block follows, the periods are the same."""
+    year = 365 * 86_400_000
+    at = 1_700_000_000_000
+    rows = [("s", "p", at, at + year), ("s", "p", at + year, at + year + 5), ("s", "p", at + 2 * year, at + 2 * year + 1), ("s", "p", at + 7, at + 900)]
+    rows += [("t", "p", at + 10 * i, at + 10 * i + 10 + i % 2) for i in range(50)]
+    top = dyadic.top_level(year)
+    assert top > dyadic.TOP and len(dyadic_blocks(np.array([at]), np.array([at + year]), top)[1]) < 1200
+    got = periods_and_gaps(spark.createDataFrame(rows, IV), ["session_id", "speaker"])
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+    assert dyadic.top_level(None) == dyadic.TOP and dyadic.top_level(1 << 62) == dyadic.HIGHEST

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from turnloom.runtime import spill
 
-#: Level of the largest block: 2^20 ms, about 17 minutes.
-TOP = 20
+#: Level of the largest block: 2^20 ms, about 17 minutes; more where intervals are so long that they would be many blocks.
+TOP, HIGHEST, MOST_BLOCKS = 20, 36, 1 << 10
 
 
 #: Intervals that a map task merges at once, and blocks of one cell beyond which the cell is merged while it is read.
@@ -191,17 +191,25 @@ def _join(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def periods_and_gaps(intervals: DataFrame, keys: list[str], lo: str = "from_ms", hi: str = "to_ms", top: int = TOP) -> DataFrame:
+def top_level(longest: int | None) -> int:
+    """Level of the largest block: the longest interval then has about ``MOST_BLOCKS`` of them at most."""
+    return min(HIGHEST, max(TOP, (int(longest or 0) // MOST_BLOCKS).bit_length()))
+
+
+def periods_and_gaps(intervals: DataFrame, keys: list[str], lo: str = "from_ms", hi: str = "to_ms", top: int | None = None) -> DataFrame:
     """Continuous periods of the intervals of each key, and the gaps between two successive periods.
 
     ``lo`` and ``hi`` are whole numbers. Touching intervals are continuous; repeated, nested and overlapping ones
     count once. Rows with a null key or bound, or with ``hi <= lo``, are left out; an empty input gives no rows. Other
-    columns are ignored. Result: the keys, ``piece`` ('period' or 'gap'), ``from_ms``, ``to_ms``.
+    columns are ignored. Result: the keys, ``piece`` ('period' or 'gap'), ``from_ms``, ``to_ms``. The level of the largest
+    block follows from the longest interval if it isn't given; the result doesn't depend on it.
     """
     given = intervals.select(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)], F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"))
     names = [f"k{i}" for i in range(len(keys))]
     keyed = ", ".join(f"{n} string" for n in names)
-    blocks = given.dropna().where("lo < hi").mapInArrow(_decompose(len(names), top), f"{keyed}, b bigint")
+    given = given.dropna().where("lo < hi")
+    top = top_level(given.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]) if top is None else top
+    blocks = given.mapInArrow(_decompose(len(names), top), f"{keyed}, b bigint")
     placed = blocks.withColumn("h", F.xxhash64(*names, F.expr(f"shiftright(b, {top + 6})")))
     ordered = placed.repartition("h").sortWithinPartitions("h", "b")
     pieces = spill(ordered.mapInArrow(_cells(len(names), top), f"{keyed}, piece string, from_ms bigint, to_ms bigint"), "cells")

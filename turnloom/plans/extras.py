@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import arrays as ar
@@ -24,7 +23,7 @@ from turnloom.plans import compare as cp
 from turnloom.plans import views as v
 from turnloom.plans.timing import _EPISODES
 from turnloom.plans.views import sql
-from turnloom.runtime import drop, shared_folder, spill, table
+from turnloom.runtime import drop, place, spill, table
 from turnloom.sources import readers as rd
 from turnloom.sources import writers as wr
 
@@ -42,10 +41,6 @@ def query(text: str | None = None):
     return add
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/turnloom/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"""with e as (select event_id, session_id as raw, {v._ID} as normal from turn_events), s as (select distinct session_id from sessions)
 select count(*) as n, count(a.session_id) as exact, count(b.session_id) as normal from e left join s a on e.raw = a.session_id left join s b on e.normal = b.session_id""")
 def join_01_exact_or_normal(spark, d):
@@ -183,23 +178,9 @@ def win_14_activity_bins(spark, d):
 @query(sql("frames", " select session_id, frame as row, value from frames where signal_name = 'surprise'").replace("frame as row", "cast(row_number() over (partition by session_id order by frame) - 1 as bigint) as row"))
 def src_11_array_files(spark, d):
     """A .npy file per session written by tasks, read back as rows (SRC-11, SRC-12, SRC-13, SNK-03)."""
-    base = _place(spark, "arrays")
-    local = base.removeprefix("file://").removeprefix("file:")
+    base = place(spark, "arrays")
     series = wr.nested_series(v.frames(spark, d).where("signal_name = 'surprise'"), "value", "values")
-
-    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.makedirs(local, exist_ok=True)
-        for pdf in frames:
-            for s, x in zip(pdf["session_id"], pdf["values"], strict=True):
-                temporary = f"{local}/.{s}-{uuid.uuid4().hex}"
-                with open(temporary, "wb") as f:
-                    np.save(f, np.asarray(x, float)[:, None])
-                os.replace(temporary, f"{local}/dc_{s}.npy")
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    series.mapInPandas(save, "n long").agg(F.sum("n")).collect()
+    wr.save_arrays(series.select(F.concat(F.lit("dc_"), "session_id").alias("name"), "values"), base)
     return rd.array_files(spark, base, ["values"]).select("session_id", "row", F.col("values")[0].alias("value"))
 
 

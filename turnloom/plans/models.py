@@ -13,7 +13,7 @@ from turnloom.operators import numerics as nu
 from turnloom.operators import timeline as tl
 from turnloom.plans import views as v
 from turnloom.plans.views import sql
-from turnloom.runtime import shared_folder, table
+from turnloom.runtime import place, table
 from turnloom.sources import readers as rd
 from turnloom.sources import writers as wr
 from turnloom.streaming import gate as gt
@@ -158,9 +158,7 @@ def ml_06_surprise_from_model(spark, d):
 
 
 def _written(df: DataFrame, name: str, how: str = "json") -> str:
-    import uuid
-
-    path = f"{shared_folder(df.sparkSession)}/turnloom/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     getattr(df.write.option("header", True) if how == "csv" else df.write, how)(path)
     return path
 
@@ -195,9 +193,7 @@ select session_id, speaker, case when ms then start_ms / 1000.0 else start_ms en
 def src_06_transcript_csv(spark, d):
     """One CSV folder per session with times in milliseconds (SRC-06, SRC-07, FLT-06)."""
     t = v.turns(spark, d).select("session_id", F.col("speaker").alias("speaker "), F.col("start_ms").alias("startTime"), F.col("end_ms").alias("stopTime"))
-    import uuid
-
-    path = f"{shared_folder(spark)}/turnloom/csv-{uuid.uuid4().hex}"
+    path = place(spark, "csv")
     t.repartition("session_id").write.partitionBy("session_id").option("header", True).csv(path)
     df = spark.read.option("header", True).csv(path)  # the folder's name carries the session here
     df = df.toDF(*[c.strip() for c in df.columns])
@@ -248,9 +244,7 @@ def snk_10_canonical(spark, d):
 @query()
 def snk_05_publish(spark, d):
     """A folder written once, read back; a second write is refused."""
-    import uuid
-
-    path = f"{shared_folder(spark)}/turnloom/published-{uuid.uuid4().hex}"
+    path = place(spark, "published")
     wr.publish(v.checkpoints(spark, d), path)
     return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
@@ -288,10 +282,8 @@ def win_13_gate(spark, d):
 @query(sql("frames", _GATE))
 def stm_01_gate_stream(spark, d):
     """The same gate as a stateful stream over the whole table; the result table equals the batch one."""
-    import uuid
-
     src = _gate_input(spark, d)
-    base = f"{shared_folder(spark)}/turnloom/stream-{uuid.uuid4().hex}"
+    base = place(spark, "stream")
     src.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(src.schema).parquet(f"{base}/in")
     run = gt.gate_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()

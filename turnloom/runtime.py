@@ -35,27 +35,39 @@ def build_session(app: str = "turnloom", cpus: int | str = "*", shuffle_partitio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (single-machine tests)."""
+    """The cluster's shared folder; a temporary one only in a local session without the setting (tests).
+
+    On a cluster a folder of one machine would be lost to all others, so a missing setting is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder (master {master})")
         if not _own_folders:
             _own_folders.append(tempfile.mkdtemp(prefix="turnloom-"))
         folder = "file://" + _own_folders[0]
     return folder.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path for scratch data in the shared folder; it is deleted at exit, whatever the file system."""
+    path = f"{shared_folder(spark)}/turnloom/{name}-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
+
+
 def spill(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, fixes the rows, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/turnloom/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _tables[path] = spark
     back = spark.read.schema(df.schema).parquet(path)
     back._turnloom_path = path
     return back
@@ -70,10 +82,11 @@ def drop(df: DataFrame | None) -> None:
 
 def _delete(path: str, spark: SparkSession) -> None:
     try:
-        jvm = spark.sparkContext._jvm
+        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+        conf = jsc.hadoopConfiguration() if jsc is not None else jvm.org.apache.hadoop.conf.Configuration()  # after stop()
         target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone; a leftover scratch table is harmless
+        target.getFileSystem(conf).delete(target, True)
+    except Exception:  # the JVM may be gone; a leftover scratch table is harmless
         if path.startswith("file:"):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
@@ -81,8 +94,7 @@ def _delete(path: str, spark: SparkSession) -> None:
 @atexit.register
 def _clean() -> None:
     for path in list(_tables):
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        _delete(path, _tables.pop(path))
     for folder in _own_folders:
         shutil.rmtree(folder, ignore_errors=True)
 

@@ -6,9 +6,13 @@ import hashlib
 import hmac
 import io
 import json
+import uuid
 import wave
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,29 @@ def nested_series(frames: DataFrame, value: str, out: str, keys: list[str] | Non
     return frames.groupBy(*keys).agg(ordered.alias(out))
 
 
+def save_arrays(series: DataFrame, folder: str) -> int:
+    """A .npy file with one column per row of ``series`` (name, values), written by the tasks; returns the number of files.
+
+    ``folder`` is a URI of a file system that all executors share (file:, hdfs:, s3:, gs: as pyarrow names them). A file
+    is written under a name of its own and moved, so a task that runs again leaves no half file.
+    """
+
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for pdf in frames:
+            for name, x in zip(pdf["name"], pdf["values"], strict=True):
+                box = io.BytesIO()
+                np.save(box, np.asarray(x, float)[:, None])
+                temporary = f"{base}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(temporary) as out:
+                    out.write(box.getvalue())
+                fs.move(temporary, f"{base}/{name}.npy")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return series.select("name", "values").mapInPandas(save, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def canonical(df: DataFrame) -> Column:
     """The row as compact JSON with sorted keys."""
     return F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
