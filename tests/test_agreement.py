@@ -1,3 +1,7 @@
+import hashlib
+import random
+from collections import Counter
+
 import pytest
 
 from turnloom.operators import agreement as ag
@@ -11,10 +15,26 @@ def ratings(spark, groups):
     return spark.createDataFrame(rows, "item long, annotator string, raw_action string, action string")
 
 
-@pytest.mark.parametrize(("groups", "want"), [([["wait", "wait"], ["respond", "respond"]], 1.0), ([["wait", "respond"], ["wait", "respond"]], -0.5), ([["wait", "wait"], ["wait", "wait"]], None), ([["wait", "wait", "unratable"], ["respond", "respond"]], 1.0)])
-def test_alpha(spark, groups, want):
-    rows = ag.krippendorff(ratings(spark, groups), []).collect()
-    assert (rows[0]["alpha"] if rows else None) == (want if want is None else pytest.approx(want))
+def plain_alpha(groups):
+    """1 - observed / expected disagreement, pair by pair."""
+    kept = [[x for x in g if x != "unratable"] for g in groups]
+    kept = [g for g in kept if len(g) > 1]
+    every = [x for g in kept for x in g]
+    n = len(every)
+    observed = sum(sum(x != y for i, x in enumerate(g) for j, y in enumerate(g) if i != j) / (len(g) - 1) for g in kept) / max(n, 1)
+    expected = sum(x != y for i, x in enumerate(every) for j, y in enumerate(every) if i != j) / max(n * (n - 1), 1)
+    return 1 - observed / expected if expected else None
+
+
+def test_alpha(spark):
+    rng = random.Random(12)
+    answers = ["ack", "repair", "respond", "wait", "unratable"]
+    cases = [[rng.choices(answers, [3, 1, 2, 6, 1], k=rng.randint(1, 5)) for _ in range(rng.randint(2, 9))] for _ in range(6)]
+    cases += [[["ack"] * 3, ["ack"] * 2], [["repair"], ["wait"]], [["repair"] * 4, ["ack"] * 2, ["wait", "unratable"]]]
+    for groups in cases:
+        rows = ag.krippendorff(ratings(spark, groups), []).collect()
+        want = plain_alpha(groups)
+        assert (rows[0]["alpha"] if rows else None) == (want if want is None else pytest.approx(want)), groups
 
 
 def test_positive_agreement_and_confusion(spark):
@@ -42,8 +62,6 @@ def test_majority_and_repeats(spark):
 
 
 def test_bootstrap_equals_a_plain_recomputation(spark):
-    import hashlib
-
     import numpy as np
 
     units = {f"u{i:02d}": (float(i * i % 7), float(1 + i % 3)) for i in range(11)}
@@ -57,20 +75,56 @@ def test_bootstrap_equals_a_plain_recomputation(spark):
     assert (ci["lo"], ci["hi"]) == pytest.approx(tuple(np.quantile(list(got.values()), [0.025, 0.975])))
 
 
+def plain_pilot(rows, size, least, seed):
+    """The greedy choice without any cut of the candidates."""
+    digest = lambda r: hashlib.sha256(f"{seed}:pilot:{r[1]}:{r[5]}".encode()).hexdigest()
+    cell, source, stratum, line, episodes, out = Counter(), Counter(), Counter(), Counter(), set(), []
+    while len(out) < size:
+        pool = [r for r in rows if r[1] not in episodes]
+        if len(line) < least:
+            pool = [r for r in pool if r[2] not in line] or pool
+        r = min(pool, key=lambda r: (cell[r[3], r[4]], source[r[3]], stratum[r[4]], line[r[2]], digest(r), r[1], r[5]))
+        cell[r[3], r[4]] += 1
+        source[r[3]] += 1
+        stratum[r[4]] += 1
+        line[r[2]] += 1
+        episodes.add(r[1])
+        out.append(r[0])
+    return out
+
+
+def test_pilot_against_the_plain_choice(spark):
+    rng = random.Random(3)
+    rows = [(str(i), f"e{i // 2}", f"l{(i // 2) % 17}", "ab"[(i // 2) % 2], rng.choice("xyz"), rng.choice([0.24, 0.5, 2.0])) for i in range(240)]
+    df = spark.createDataFrame(rows, "item string, episode string, lineage string, source string, stratum string, elapsed double")
+    for size, least in ((6, 3), (20, 12)):
+        got = sp.balanced_pilot(df.repartition(5), size, least, 1).orderBy("place").collect()
+        assert [r["item"] for r in got] == plain_pilot(rows, size, least, 1)
+    for size, least in ((200, 3), (40, 18)):
+        with pytest.raises(Exception, match="are needed"):
+            sp.balanced_pilot(df, size, least, 1).collect()
+    assert sp.balanced_pilot(df, 200, 3, 1, partial=True).count() == 120
+    assert sp.balanced_pilot(df.where("false"), 5, 3, 1, partial=True).count() == 0
+
+
 def test_sampling(spark):
-    rows = [(str(i), f"l{i % 9}", "ab"[i % 2], "xyz"[i % 3], "c") for i in range(90)]
-    df = spark.createDataFrame(rows, "item string, lineage string, source string, stratum string, context string")
-    pilot = [r["item"] for r in sp.balanced_pilot(df, 18, 2, 1).orderBy("place").collect()]
-    assert len(pilot) == 18 and pilot == [r["item"] for r in sp.balanced_pilot(df.repartition(5), 18, 2, 1).orderBy("place").collect()]
-    lines = [int(i) % 9 for i in pilot]
-    assert max(map(lines.count, lines)) <= 2
-    got = sp.assign(df.where("item < '3'"), list("pqrst"), 3, 1)
-    per = got.groupBy("item").count().collect()
-    assert {r["count"] for r in per} == {3} and max(r["count"] for r in got.groupBy("annotator").count().collect()) - min(r["count"] for r in got.groupBy("annotator").count().collect()) <= 6
-    again = sp.with_repeats(got, 0.05, 1)
-    assert again.where("is_repeat").count() >= 5
-    queue = sp.spaced_queue(spark.createDataFrame([("a", str(i), f"e{i % 3}") for i in range(12)], "annotator string, item string, episode string"), 1).orderBy("place").collect()
-    assert all(x["episode"] != y["episode"] for x, y in zip(queue[:-1], queue[1:], strict=True)) and len(queue) == 12
+    df = spark.createDataFrame([(str(i), f"l{i % 9}") for i in range(18)], "item string, lineage string")
+    got = sp.assign(df, list("pqrstuv"), 3, 1).collect()
+    assert Counter(r["item"] for r in got) == {str(i): 3 for i in range(18)}
+    line = {(r["annotator"], int(r["item"]) % 9) for r in got}
+    assert len(line) == len(got) == 54  # nobody has two items of a lineage
+    load = Counter(r["annotator"] for r in got)
+    assert max(load.values()) - min(load.values()) <= 2
+    with pytest.raises(Exception, match="can't keep"):
+        sp.assign(df, list("pqrst"), 3, 1).collect()
+    again = sp.with_repeats(spark.createDataFrame(got), 0.05, 1)
+    assert again.where("is_repeat").count() >= 7
+    for names in ([f"e{i % 3}" for i in range(12)], ["a"] * 5 + ["b"] * 2, ["a"] * 4 + ["b", "c", "d"], []):
+        queue = sp.spaced_queue(spark.createDataFrame([("a", str(i), e) for i, e in enumerate(names)], "annotator string, item string, episode string"), 1).orderBy("place").collect()
+        assert [r["place"] for r in queue] == list(range(len(names))) and {r["item"] for r in queue} == {str(i) for i in range(len(names))}
+        touching = sum(x["episode"] == y["episode"] for x, y in zip(queue[:-1], queue[1:], strict=True))
+        top = max(Counter(names).values(), default=0)
+        assert touching == max(0, top - (len(names) - top) - 1)
 
 
 def test_validation(spark):

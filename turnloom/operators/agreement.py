@@ -99,10 +99,9 @@ def report(ratings: DataFrame, corpora: str = "source", stratum: str = "stratum"
     m = F.col("m")
     squares = sum((F.col(f"c_{c}") * F.col(f"c_{c}") for c in ACTIONS), F.lit(0))
     ok = items.where("m >= 2").withColumn("_d", (m * m - squares) / (m - 1))
-    ok.createOrReplaceTempView("_turnloom_items")
     sums = ", ".join(f"sum(c_{c}) as t_{c}" for c in ACTIONS)
     cube = ok.sparkSession.sql(f"""select {corpora}, {stratum}, grouping_id() as level, count(*) as items, sum(m) as total, sum(_d) as disagreed, {sums}
-        from _turnloom_items group by grouping sets ((), ({corpora}), ({stratum}))""")
+        from {{items}} group by grouping sets ((), ({corpora}), ({stratum}))""", items=ok)
     level = F.when(F.col("level") == 3, "all").when(F.col("level") == 1, "corpus").otherwise("stratum")
     out = cube.select(level.alias("level"), F.coalesce(F.col(corpora), F.col(stratum), F.lit("all")).alias("name"), "items", alpha_of().alias("alpha"))
     if strata:

@@ -124,9 +124,16 @@ def predicted(frames: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], fe
 
 
 def mlp_loss(frames: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], features: str, target: str, lam: float = 0.0) -> DataFrame:
-    """The loss that ``mlp_fit`` descends, over all frames: one row."""
-    energy = F.aggregate("pred", F.lit(0.0), lambda a, x: a + x * x)
-    return predicted(frames, layers, features).agg(F.avg(mse("pred", target) + lam * 0.5 * energy).alias("loss"))
+    """Mean squared error plus lam times the whole regulariser of the predictions, over all frames: one row."""
+    return regularised(predicted(frames, layers, features), "pred", target, lam).select("loss")
+
+
+def regularised(frames: DataFrame, pred: str, target: str, lam: float) -> DataFrame:
+    """(mse, regulariser, loss): the regulariser is the ``total`` of ``moments`` of the predictions."""
+    one = F.lit(1).alias("_all")
+    error = frames.select(one, mse(pred, target).alias("_e")).groupBy("_all").agg(F.avg("_e").alias("mse"))
+    m = moments(frames.select(one, F.col(pred).alias("_p")), ["_all"], "_p").select("_all", F.col("total").alias("regulariser"))
+    return error.join(m, "_all").select("mse", "regulariser", (F.col("mse") + lam * F.col("regulariser")).alias("loss"))
 
 
 def projected(frames: DataFrame, features: str, width: int, seed: int, out: str = "proj") -> DataFrame:
@@ -136,7 +143,7 @@ def projected(frames: DataFrame, features: str, width: int, seed: int, out: str
     def work(x: np.ndarray) -> np.ndarray:
         if x.shape[1] not in made:
             made[x.shape[1]] = np.random.default_rng(seed).normal(0.0, 1 / np.sqrt(width), (x.shape[1], width))
-        return x @ made[x.shape[1]]
+        return np.einsum("ij,jk->ik", x, made[x.shape[1]])  # row by row in one order, however rows are batched
 
     return _mapped(frames, work, features, out)
 
@@ -148,7 +155,7 @@ def orthogonal(frames: DataFrame, features: str, width: int, seed: int, out: str
     def work(x: np.ndarray) -> np.ndarray:
         if x.shape[1] not in made:
             made[x.shape[1]] = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1], width)))[0]
-        return x @ made[x.shape[1]]
+        return np.einsum("ij,jk->ik", x, made[x.shape[1]])  # row by row in one order, however rows are batched
 
     return _mapped(frames, work, features, out)
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,58 +37,80 @@ def per_split(df: DataFrame, schema: str, work, group: str | None = None) -> Dat
     return (df.groupBy(group) if group else df.groupBy()).applyInPandas(work, schema)
 
 
-def balanced_pilot(candidates: DataFrame, size: int, per_lineage: int, seed: int) -> DataFrame:
-    """Greedy pilot: each pick takes the (source, stratum, context) cell that is emptiest so far, then the least used
-    lineage, then the order of a hash; at most ``per_lineage`` per lineage.
+def balanced_pilot(candidates: DataFrame, size: int, min_lineages: int, seed: int, partial: bool = False) -> DataFrame:
+    """Greedy pilot of one item per episode: (item, episode, lineage, source, stratum, place).
 
-    ``candidates``: item, lineage, source, stratum, context (all strings). Sequential by nature, so the candidates are
-    cut beforehand to the ``size`` first of each cell and lineage: no more can ever be chosen from it.
+    Each pick is the least by (picks of its source and stratum, of its source, of its stratum, of its lineage, hash,
+    episode, elapsed) among the episodes that are left; while fewer than ``min_lineages`` lineages are in, an unseen one
+    goes first if there is any. Too few episodes or lineages are an error, unless ``partial`` takes what there is.
+    ``candidates``: item, episode, lineage, source, stratum (strings), elapsed (double); rows with a null are left out.
+
+    Sequential by nature, so the candidates are cut beforehand to what can be picked at all: within a cell of source and
+    stratum only lineages among the ``size + 1`` with the least hash (one of them is always still unseen), and of each the
+    ``size`` first episodes. So one task gets at most cells * (size + 1) * size rows, however large the input.
     """
-    digest = F.sha2(F.concat_ws(":", F.lit(seed), "item"), 256)
-    w = Window.partitionBy("source", "stratum", "context", "lineage").orderBy(digest)
-    cut = candidates.withColumn("h", digest).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_lineage).drop("_r")
+    if size < 1 or not 1 <= min_lineages <= size:
+        raise ValueError("the size and the least number of lineages don't fit")
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.lit("pilot"), "episode", F.col("elapsed").cast("string")), 256)
+    c = candidates.select("item", "episode", "lineage", "source", "stratum", "elapsed").dropna().withColumn("h", digest)
+    cell, line = ["source", "stratum"], ["source", "stratum", "lineage"]
+    one = c.groupBy(*line, "episode").agg(F.min(F.struct("h", "elapsed", "item")).alias("r")).select(*line, "episode", "r.*")
+    best = one.groupBy(*line).agg(F.min("h").alias("_least"))
+    lines = best.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("_least", "lineage"))).where(F.col("_r") <= size + 1)
+    cut = one.join(lines.select(*line), line, "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(*line).orderBy("h", "episode"))).where(F.col("_r") <= size)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("h").to_dict("records")
-        cell, line = defaultdict(int), defaultdict(int)
-        queues = defaultdict(list)
-        for r in rows:
-            queues[(r["source"], r["stratum"], r["context"])].append(r)
-        out = []
-        while len(out) < size:
-            best = None
-            for key, queue in queues.items():
-                free = [r for r in queue if line[r["lineage"]] < per_lineage]
-                if free:
-                    r = min(free, key=lambda r: (line[r["lineage"]], r["h"]))
-                    rank = (cell[key], line[r["lineage"]], r["h"])
-                    if best is None or rank < best[0]:
-                        best = (rank, key, r)
-            if best is None:
-                break
-            _, key, r = best
-            queues[key].remove(r)
-            cell[key] += 1
-            line[r["lineage"]] += 1
-            out.append({"item": r["item"], "place": len(out)})
-        return pd.DataFrame(out, columns=["item", "place"])
-
-    return per_split(cut.select("item", "lineage", "source", "stratum", "context", "h"), "item string, place int", pick)
+        pdf = pdf.sort_values(["h", "episode", "elapsed"]).reset_index(drop=True)
+        n_cell, code = {}, {}
+        for name, columns in (("cell", cell), ("source", ["source"]), ("stratum", ["stratum"]), ("lineage", ["lineage"]), ("episode", ["episode"])):
+            code[name] = pdf.groupby(columns, sort=False).ngroup().to_numpy()
+            n_cell[name] = np.zeros(code[name].max() + 1 if len(pdf) else 0, np.int64)
+        free, out = np.ones(len(pdf), bool), []
+        while len(out) < size and free.any():
+            pool = free
+            if (n_cell["lineage"] > 0).sum() < min_lineages:
+                unseen = free & (n_cell["lineage"][code["lineage"]] == 0)
+                pool = unseen if unseen.any() else free
+            at = np.flatnonzero(pool)
+            rank = np.zeros(len(at), np.int64)
+            for name in ("cell", "source", "stratum", "lineage"):
+                rank = rank * (size + 1) + n_cell[name][code[name][at]]
+            i = int(at[rank.argmin()])  # the first of equal ranks: rows are in the order of the hash
+            for name in n_cell:
+                n_cell[name][code[name][i]] += 1
+            free &= code["episode"] != code["episode"][i]
+            out.append(i)
+        if not partial and len(out) < size:
+            raise ValueError(f"{size} episodes are needed, {len(out)} are there")
+        if not partial and (n_cell["lineage"] > 0).sum() < min_lineages:
+            raise ValueError(f"{min_lineages} lineages are needed, {int((n_cell['lineage'] > 0).sum())} are there")
+        return pdf.loc[out, ["item", "episode", "lineage", "source", "stratum"]].assign(place=np.arange(len(out), dtype=np.int32))
+
+    return per_split(cut.drop("_r"), "item string, episode string, lineage string, source string, stratum string, place int", pick)
 
 
 def assign(items: DataFrame, annotators: list[str], per_item: int, seed: int) -> DataFrame:
-    """``per_item`` annotators for each item, the least loaded first, none twice on one lineage while others are free."""
+    """``per_item`` annotators for each item, the least loaded first and none twice on one lineage: (item, annotator).
+
+    A pool too small to keep a lineage's items apart is an error. For the items of a pilot: one task gets all of them.
+    """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        load, seen = dict.fromkeys(annotators, 0), defaultdict(set)
-        out = []
         key = lambda *x: hashlib.sha256(":".join(map(str, (seed, *x))).encode()).hexdigest()
-        for r in sorted(pdf.to_dict("records"), key=lambda r: key(r["item"])):
-            order = sorted(annotators, key=lambda a: (r["lineage"] in seen[a], load[a], key(r["item"], a)))
-            for a in order[:per_item]:
-                load[a] += 1
-                seen[a].add(r["lineage"])
-                out.append({"item": r["item"], "annotator": a})
+        rank = {a: i for i, a in enumerate(sorted(annotators, key=lambda a: key("annotator", a)))}
+        load, lines = dict.fromkeys(annotators, 0), defaultdict(list)
+        for r in sorted(pdf.to_dict("records"), key=lambda r: key("item", r["item"])):
+            lines[r["lineage"]].append(r["item"])
+        out = []
+        for lineage, mine in lines.items():
+            if len(mine) * per_item > len(annotators):
+                raise ValueError(f"{len(annotators)} annotators can't keep the {len(mine)} items of {lineage} apart")
+            free = set(annotators)
+            for item in mine:
+                for a in sorted(free, key=lambda a: (load[a], rank[a]))[:per_item]:
+                    load[a] += 1
+                    free.remove(a)
+                    out.append({"item": item, "annotator": a})
         return pd.DataFrame(out, columns=["item", "annotator"])
 
     return per_split(items.select("item", "lineage"), "item string, annotator string", work)
@@ -111,13 +135,19 @@ def spaced_queue(assigned: DataFrame, seed: int) -> DataFrame:
             rest[r["episode"]].append(r)
         for rows in rest.values():
             rng.shuffle(rows)
-        out, last = [], None
-        while rest:
-            options = [e for e in rest if e != last] or list(rest)
-            last = max(options, key=lambda e: (len(rest[e]), e))
-            out.append(rest[last].pop() | {"place": len(out)})
-            if not rest[last]:
-                del rest[last]
+        # the largest rest first (of equal ones the greater name), never the episode just taken while another is left
+        names = sorted(rest, reverse=True)
+        heap = [(-len(rest[e]), i) for i, e in enumerate(names)]
+        heapq.heapify(heap)
+        out, waiting = [], None
+        while heap or waiting:
+            if not heap:
+                heap, waiting = [waiting], None
+            n, i = heapq.heappop(heap)
+            if waiting:
+                heapq.heappush(heap, waiting)
+            out.append(rest[names[i]].pop() | {"place": len(out)})
+            waiting = (n + 1, i) if n < -1 else None
         return pd.DataFrame(out)[["annotator", "item", "episode", "place"]]
 
     return per_split(assigned.select("annotator", "item", "episode"), "annotator string, item string, episode string, place int", work, "annotator")

@@ -267,21 +267,57 @@ def topk_01_per_lineage(spark, d):
     return sp.top_groups(c, "lineage_id", "episode_id", 3, 5).select("checkpoint_id", "lineage_id", "episode_id")
 
 
+_PILOT = {"size": 75, "min_lineages": 5, "seed": 11}
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = v.checkpoints(spark, d).where("elapsed_s >= 0 and lineage_id is not null and source is not null")
+    """Joint silences of lineages in the allowed splits: item, episode (with its session), lineage, source, stratum, elapsed."""
+    c = v.checkpoints(spark, d).where("elapsed_s >= 0 and lineage_id is not null and source is not null and session_id is not null and context = 'joint_silence'")
+    c = c.where(sp.hash_split(11, "lineage_id").isin("train", "validation"))
     stratum = F.when(F.col("elapsed_s") < 1, "a").when(F.col("elapsed_s") < 3, "b").otherwise("c")
-    return c.groupBy(F.col("checkpoint_id").cast("string").alias("item")).agg(F.min("lineage_id").alias("lineage"), F.min("source").alias("source"), F.min(stratum).alias("stratum"), F.min("context").alias("context"))
+    first = c.groupBy("checkpoint_id").agg(F.min(F.struct("lineage_id", "source", "elapsed_s", "session_id", "episode_id")).alias("r")).select("checkpoint_id", "r.*")
+    return first.select(F.col("checkpoint_id").cast("string").alias("item"), F.concat_ws("/", "session_id", "episode_id").alias("episode"), F.col("lineage_id").alias("lineage"), "source", stratum.alias("stratum"), F.col("elapsed_s").alias("elapsed"))
 
 
 @query()
 def topk_02_pilot(spark, d):
-    return sp.balanced_pilot(_candidates(spark, d), 75, 3, 11)
+    return sp.balanced_pilot(_candidates(spark, d), **_PILOT)
+
+
+@query(sql("checkpoints", """, c as (select checkpoint_id, min(struct_pack(lineage_id, source, elapsed_s, session_id, episode_id)) as r from cp
+    where elapsed_s >= 0 and lineage_id is not null and source is not null and session_id is not null and context = 'joint_silence'
+      and cast(('0x' || substr(sha256('11:' || lineage_id), 1, 16)) as ubigint)::double / 18446744073709551616.0 < 0.85 group by all),
+e as (select count(distinct r.session_id || '/' || r.episode_id) as n, count(distinct r.lineage_id) as l from c)
+select least(75, n) as n_items, least(75, n) as n_episodes, true as enough_lineages, 0 as n_outside from e"""))
+def topk_02_constraints(spark, d):
+    """What the pilot has to keep: its size, one item per episode, enough lineages, nothing that was no candidate."""
+    c = _candidates(spark, d)
+    picked = sp.balanced_pilot(c, **_PILOT, partial=True).join(c.select("item", F.lit(1).alias("known")), "item", "left")
+    return picked.agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("episode").alias("n_episodes"), (F.count_distinct("lineage") >= _PILOT["min_lineages"]).alias("enough_lineages"), F.count(F.when(F.col("known").isNull(), 1)).cast("int").alias("n_outside"))
+
+
+def _pool(pilot: DataFrame, per_item: int) -> list[str]:
+    """Annotators enough to keep every lineage's items apart."""
+    most = pilot.groupBy("lineage").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    return [f"ann-{i:02d}" for i in range(1, max(8, per_item * most) + 1)]
 
 
 @query()
 def smp_02_assign(spark, d):
-    pilot = sp.balanced_pilot(_candidates(spark, d), 75, 3, 11).join(_candidates(spark, d), "item")
-    return sp.assign(pilot.select("item", "lineage"), [f"ann-{i:02d}" for i in range(1, 9)], 3, 11)
+    pilot = sp.balanced_pilot(_candidates(spark, d), **_PILOT, partial=True)
+    return sp.assign(pilot.select("item", "lineage"), _pool(pilot, 3), 3, 11)
+
+
+@query("select 0 as n_shared, 0 as n_wrong_size, true as even")
+def smp_02_constraints(spark, d):
+    """Annotators with two items of a lineage (none), items without three annotators (none), loads that differ by at most a lineage's items."""
+    pilot = sp.balanced_pilot(_candidates(spark, d), **_PILOT, partial=True)
+    got = sp.assign(pilot.select("item", "lineage"), _pool(pilot, 3), 3, 11).join(pilot.select("item", "lineage"), "item")
+    shared = got.groupBy("annotator", "lineage").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).cast("int").alias("n_shared"))
+    sizes = got.groupBy("item").agg(F.count_distinct("annotator").alias("n")).where("n <> 3").agg(F.count(F.lit(1)).cast("int").alias("n_wrong_size"))
+    most = pilot.groupBy("lineage").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    loads = got.groupBy("annotator").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") - F.min("n")).alias("spread"))
+    return shared.crossJoin(sizes).crossJoin(loads.crossJoin(most).select((F.col("spread") <= F.col("most")).alias("even")))  # one row each
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
@@ -324,16 +360,19 @@ def val_03_raters(spark, d):
     return va.wrong_counts(table(spark, d, "assignment_map").where("not is_repeat"), "item_id", 5, 5)
 
 
-@query(sql("ratings", """, r as (select assignment_id, [case when not coalesce(raw_action in ('ack', 'repair', 'respond', 'wait', 'unratable'), false) then 'action' end, case when not coalesce(confidence between 1 and 5, false) then 'confidence' end,
-  case when not coalesce(coalesce(waits, false) or earliest is null or earliest <= latest, false) then 'onset' end] as x from ratings)
+@query(sql("ratings", """, rt as (select assignment_id, ratable from assigned_annotations qualify row_number() over (partition by assignment_id order by submitted_at desc nulls last, lower(trim(action)) desc) = 1), r as (select assignment_id, [case when not coalesce(raw_action in ('ack', 'repair', 'respond', 'wait', 'unratable'), false) then 'action' end, case when not coalesce(confidence between 1 and 5, false) then 'confidence' end,
+  case when not coalesce(coalesce(waits, false) or earliest is null or earliest <= latest, false) then 'onset' end, case when not coalesce(ratable = (raw_action <> 'unratable'), false) then 'ratable' end] as x from ratings join rt using (assignment_id))
 select assignment_id, rule from (select assignment_id, unnest(x) as rule from r) where rule is not null"""))
 def val_04_rules(spark, d):
     rules = {
         "action": F.col("raw_action").isin(*ag.ACTIONS, "unratable"),
         "confidence": F.col("confidence").between(1, 5),
         "onset": F.coalesce("waits", F.lit(False)) | F.col("earliest").isNull() | (F.col("earliest") <= F.col("latest")),
+        "ratable": F.col("ratable") == (F.col("raw_action") != "unratable"),
     }
-    return va.rule_breaks(v.ratings(spark, d), ["assignment_id"], rules)
+    a = table(spark, d, "assigned_annotations").select("assignment_id", "submitted_at", tidy("action").alias("action"), "ratable")
+    last = a.groupBy("assignment_id").agg(F.max_by("ratable", F.struct("submitted_at", "action")).alias("ratable"))
+    return va.rule_breaks(v.ratings(spark, d).join(last, "assignment_id"), ["assignment_id"], rules)
 
 
 @query(sql("checkpoints", " select checkpoint_id, 'timing' as rule from cp where not coalesce(abs(model_cutoff_s - onset_s - elapsed_s) <= 1e-6, false) union all select checkpoint_id, 'grid' from cp where not coalesce(elapsed_s in (0.24, 0.48, 0.96, 2, 3, 5, 10), false)"))

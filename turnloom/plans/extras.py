@@ -21,6 +21,7 @@ from turnloom.operators import timeline as tl
 from turnloom.operators import validation as va
 from turnloom.plans import compare as cp
 from turnloom.plans import views as v
+from turnloom.plans.annotation import _COUNTS, _alpha
 from turnloom.plans.timing import _EPISODES
 from turnloom.plans.views import sql
 from turnloom.runtime import drop, place, spill, table
@@ -276,13 +277,14 @@ def agg_23_bundle(spark, d):
     return o.groupBy("source").agg(F.count(F.lit(1)).alias("annotations"), F.count_distinct("item").alias("items"), F.count_distinct("annotator").alias("annotators"), F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.avg((F.col("raw_action") == "unratable").cast("int")), 6).alias("unratable"))
 
 
-@query("select 0 as n_differing")
+@query(sql("ratings", _COUNTS + _alpha("source")).replace("select source, items, cast(total as bigint) as ratings, round(1 - d", "select source, true as same, round(1 - d"))
 def agg_38_recomputed(spark, d):
-    """A receipt's numbers against the same numbers computed another way: alpha from one pass and from the grouping sets."""
+    """Alpha by corpus, and whether one pass and the grouping sets give the same number (AGG-38)."""
     o = v.ratings(spark, d).where("not is_repeat")
     a = ag.krippendorff(o, ["source"]).select(F.col("source").alias("name"), F.round("alpha", 9).alias("alpha"))
     b = ag.report(o).where("level = 'corpus'").select("name", F.round("alpha", 9).alias("alpha"))
-    return va.mismatches(a, b, ["name"], ["alpha"]).agg(F.count(F.lit(1)).cast("int").alias("n_differing"))
+    wrong = va.mismatches(a, b, ["name"], ["alpha"])
+    return a.join(b.select("name"), "name").join(wrong, "name", "left").select(F.col("name").alias("source"), F.col("column").isNull().alias("same"), F.round("alpha", 6).alias("alpha"))
 
 
 @query()

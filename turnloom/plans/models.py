@@ -72,12 +72,14 @@ def agg_27_gaussian_moments(spark, d):
     return m.select("session_id", *[F.round(c, 6).alias(c) for c in ("mean_part", "var_part", "cov_part", "energy")])
 
 
-@query(sql("vectors", _SHIFT + """, e as (select unnest(x) as x, unnest(z) as z from p), l as (select avg((x - z) * (x - z)) as mse from e)
-select round(mse, 6) as mse, round(mse + 0.01 * (select 0.5 * avg(q) from (select list_sum(list_transform(x, lambda t: t * t)) as q from p)), 6) as loss from l"""))
+@query(sql("vectors", _SHIFT + """, ef as (select session_id || '/' || frame as f, unnest(x) as x, unnest(z) as z, unnest(range(len(x))) as i from p), l as (select avg((x - z) * (x - z)) as mse from ef),
+mm as (select i, avg(x) as m, var_pop(x) as s from ef group by all), dg as (select sum(m * m) as a, avg((s - 1) * (s - 1)) as b, count(*) as dims from mm),
+cc as (select a.i, b.i as j, covar_pop(a.x, b.x) as c from ef a join ef b on a.f = b.f and a.i < b.i group by all), oo as (select 2 * sum(c * c) as o from cc)
+select round(mse, 6) as mse, round(a + b + o / dims, 6) as regulariser, round(mse + 0.01 * (a + b + o / dims), 6) as loss from l, dg, oo"""))
 def agg_28_loss(spark, d):
-    """MSE plus lambda times the energy."""
-    p = _pairs(spark, d).agg(F.avg(ar.mse("vec", "target")).alias("mse"), (0.5 * F.avg(ar.dot("vec", "vec"))).alias("energy"))
-    return p.select(F.round("mse", 6).alias("mse"), F.round(F.col("mse") + 0.01 * F.col("energy"), 6).alias("loss"))
+    """MSE plus lambda times the whole regulariser of AGG-27 of the predictions (here each frame's own vector)."""
+    p = nu.regularised(_pairs(spark, d), "vec", "target", 0.01)
+    return p.select(*[F.round(c, 6).alias(c) for c in ("mse", "regulariser", "loss")])
 
 
 @query(sql("vectors", """, t as (select session_id, frame, vec as x, label from vectors)
@@ -249,10 +251,29 @@ def snk_05_publish(spark, d):
     return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: The published reductions of the ten-clip slice, as (model, weighting, measure, value).
+REFERENCE = [
+    ("moshi", "unweighted", "audio_nll", 0.407020),
+    ("moshi", "unweighted", "text_nll", 0.023778),
+    ("moshi", "duration", "audio_nll", 0.488034),
+    ("moshi", "duration", "text_nll", 0.025773),
+    ("bayling_duplex", "unweighted", "nll", 9.759206),
+    ("bayling_duplex", "unweighted", "ppl", 17313.0),
+    ("bayling_duplex", "duration", "nll", 7.167710),
+    ("bayling_duplex", "duration", "ppl", 1297.0),
+    ("bayling_duplex", "", "n_tokens", 17280.0),
+    ("bayling_duplex", "", "vocab_size", 168960.0),
+    ("vap", "duration", "p_now", 0.372166),
+    ("vap", "duration", "p_future", 0.412835),
+    ("vap", "duration", "p_shift", 0.627834),
+    ("slice", "", "duration_s", 1383.44),
+]
+
+
+@query("select * from (values " + ", ".join(f"('{m}', '{w}', '{k}', {x!r}::double)" for m, w, k, x in REFERENCE) + ") as t(model, weighting, measure, value)")
 def src_24_reference_table(spark, d):
-    """Constants of the frame grid as a table."""
-    return spark.createDataFrame([("frame_ms", 80.0), ("frames_per_s", 12.5), ("mid180_frames", 2250.0)], "name string, value double")
+    """The published numbers that new reductions are held against (SRC-24)."""
+    return spark.createDataFrame(REFERENCE, "model string, weighting string, measure string, value double")
 
 
 # streams

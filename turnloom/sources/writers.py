@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import io
 import json
+import re
 import uuid
 import wave
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,6 +64,39 @@ def publish(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(path)
 
 
+READY = "READY"
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def publish_package(parts: dict[str, DataFrame], path: str) -> None:
+    """Several tables as one folder with a READY marker written last. Refuses a folder that is there; what failed is taken back."""
+    spark = next(iter(parts.values())).sparkSession
+    fs, at = _fs(spark, path)
+    if fs.exists(at(path)):
+        raise FileExistsError(path)
+    try:
+        for name, df in parts.items():
+            if not re.fullmatch(r"[A-Za-z0-9_]+", name):
+                raise ValueError(f"{name!r} is no name for a part")
+            publish(df, f"{path}/{name}")
+        fs.create(at(f"{path}/{READY}")).close()
+    except Exception:
+        fs.delete(at(path), True)
+        raise
+
+
+def read_package(spark: SparkSession, path: str, name: str) -> DataFrame:
+    fs, at = _fs(spark, path)
+    if not fs.exists(at(f"{path}/{READY}")):
+        raise FileNotFoundError(f"{path} isn't ready")
+    return spark.read.parquet(f"{path}/{name}")
+
+
 def receipt(body: dict, key: bytes) -> dict:
     text = json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
     return body | {"hmac": hmac.new(key, text.encode(), hashlib.sha256).hexdigest()}
