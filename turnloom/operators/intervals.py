@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators.running import extreme
+from turnloom.operators.running import extreme, neighbour, placed, running
+from turnloom.runtime import spill
 
 #: Length of the pieces that long sessions are cut into.
 SLICE_MS = 600_000
@@ -15,29 +16,33 @@ def positive(df: DataFrame, start: str = "start_ms", end: str = "end_ms") -> Dat
     return df.where(F.col(end) > F.col(start))
 
 
+def _with_previous(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    return neighbour(df.where(" and ".join(f"{c} is not null" for c in [*keys, start])), keys, F.floor(F.col(start) / SLICE_MS), [start, end], end, "_prev")
+
+
 def merge_touching(df: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Sorted, non-overlapping intervals of each key with touching neighbours joined.
 
-    Rows of keys with overlapping intervals are left out: see ``overlapping_keys`` for them.
+    Rows of keys with overlapping intervals are left out: see ``overlapping_keys`` for them. Rows without a key or start too.
     """
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    marked = df.withColumn("_prev", F.lag(end).over(w))
+    marked = spill(_with_previous(df, keys, start, end), "previous")  # read for the bad keys and for the islands
     bad = marked.where(F.col(start) < F.col("_prev")).select(*keys).distinct()
-    good = marked.join(bad, keys, "left_anti")
-    island = F.sum(F.coalesce((F.col(start) != F.col("_prev")).cast("int"), F.lit(1))).over(w)
-    return good.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    good = marked.join(bad, keys, "left_anti").withColumn("_opens", F.coalesce((F.col(start) != F.col("_prev")).cast("int"), F.lit(1)))
+    islands = running(good, keys, F.floor(F.col(start) / SLICE_MS), [start, end], {"_island": F.col("_opens")})
+    return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 def overlapping_keys(df: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Keys that have an interval starting before the one in front of it ends, with their number."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    return df.withColumn("_prev", F.lag(end).over(w)).where(F.col(start) < F.col("_prev")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_overlaps"))
+    return _with_previous(df, keys, start, end).where(F.col(start) < F.col("_prev")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_overlaps"))
 
 
 def episodes(merged: DataFrame, key: str = "session_id", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Silence after each interval: episode number from 0, onset, next onset, and whether the last one is censored."""
-    w = Window.partitionBy(key).orderBy(start)
-    return merged.select(key, (F.row_number().over(w) - 1).alias("episode"), F.col(end).alias("onset_ms"), F.lead(start).over(w).alias("next_ms")).withColumn("right_censored", F.col("next_ms").isNull())
+    slot = F.floor(F.col(start) / SLICE_MS)
+    numbered = placed(merged.select(key, start, end), [key], slot, [start], "_n")
+    following = neighbour(numbered, [key], slot, [start], start, "next_ms", forward=True)
+    return following.select(key, (F.col("_n") - 1).alias("episode"), F.col(end).alias("onset_ms"), "next_ms").withColumn("right_censored", F.col("next_ms").isNull())
 
 
 def stab(points: DataFrame, intervals: DataFrame, key: str, at: str, name: str, start: str = "start_ms", end: str = "end_ms", slice_ms: int = SLICE_MS) -> DataFrame:

@@ -185,10 +185,26 @@ def masses(df: DataFrame, groups: list[str], user: str = "user", assistant: str
     return df.groupBy(*groups).agg(share(a).alias("speak"), share(a & u).alias("overlap"), share(a & ~u).alias("gap"), share(~a & ~u).alias("mutual_silence"), F.count(F.lit(1)).alias("n_frames"))
 
 
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float], step: float = STEP) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group; rows without a value are left out.
+
+    From ranks by two-level running sums over distinct values: no buffer holds the values of a group.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running(per, groups, F.floor(F.col("_v") / step), ["_v"], {"_cum": F.col("_c")})
+    totals = per.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    j = upto.join(totals, groups) if groups else upto.crossJoin(totals)  # one row a group
+    aggs = []
+    for name, q in shares.items():
+        at = (F.col("_n") - 1) * q
+        aggs += [F.min(F.when(F.col("_cum") >= F.floor(at) + 1, F.col("_v"))).alias(f"_lo_{name}"), F.min(F.when(F.col("_cum") >= F.ceil(at) + 1, F.col("_v"))).alias(f"_hi_{name}"), F.max(at - F.floor(at)).alias(f"_f_{name}")]
+    return j.groupBy(*groups).agg(*aggs).select(*groups, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in shares])
+
+
 def robust_threshold(df: DataFrame, groups: list[str], value: str = "value", spread: float = 3.0, flat: float = 1e-12) -> DataFrame:
     """median + spread * MAD per group; where the MAD vanishes the 80th percentile, kept above the median."""
-    mid = df.groupBy(*groups).agg(F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.8).alias("p80"))
-    dev = df.join(mid, groups).withColumn("_d", F.abs(F.col(value) - F.col("median"))).groupBy(*groups).agg(F.percentile("_d", 0.5).alias("mad"))
+    mid = quantiles(df, groups, value, {"median": 0.5, "p80": 0.8})
+    dev = quantiles(df.join(mid, groups).withColumn("_d", F.abs(F.col(value) - F.col("median"))), groups, "_d", {"mad": 0.5})
     return mid.join(dev, groups).withColumn("threshold", F.when(F.col("mad") < flat, F.greatest(F.col("p80"), F.col("median") + flat)).otherwise(F.col("median") + spread * F.col("mad")))
 
 

@@ -46,3 +46,24 @@ def extreme(df: DataFrame, keys: list[str], bucket: Column, at: str, value: Colu
     per = per.select(*keys, "_b", pick("_t").over(far).alias("_far"))
     joined = marked.withColumn("_near", pick("_v").over(w)).join(per, [*keys, "_b"])
     return joined.withColumn(name, best("_near", "_far")).select(*df.columns, name)
+
+
+def neighbour(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, name: str, forward: bool = False) -> DataFrame:
+    """Adds ``value`` of the row before (or behind) in the order of ``bucket``, then ``order``; null at the end. Keys mustn't be null.
+
+    Like lag and lead over the keys, but no task sorts more than a bucket: what lies outside comes from one row per bucket.
+    """
+    marked = df.withColumn("_b", bucket)
+    edge = (F.min_by if forward else F.max_by)(F.struct(F.col(value).alias("v")), F.struct(*order))
+    per = marked.groupBy(*keys, "_b").agg(edge.alias("_edge"))
+    by_bucket = Window.partitionBy(*keys).orderBy(F.desc("_b") if forward else F.asc("_b"))
+    per = per.select(*keys, "_b", F.lag("_edge").over(by_bucket).alias("_far"))
+    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
+    near = (F.lead if forward else F.lag)(F.struct(F.col(value).alias("v"))).over(inner)
+    joined = marked.withColumn("_near", near).join(per, [*keys, "_b"])
+    return joined.select(*df.columns, F.coalesce("_near", "_far")["v"].alias(name))
+
+
+def placed(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], name: str) -> DataFrame:
+    """Adds the place of each row from 1, as row_number over the keys would, in two levels."""
+    return running(df, keys, bucket, order, {name: F.lit(1)})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.operators.running import placed
+
 FRAME_MS = 80
 
 
@@ -59,10 +61,19 @@ def shifted(frames: DataFrame, keys: list[str], value: str, by: int, out: str =
     return frames.join(later, [*keys, "frame"])
 
 
+#: Frames of a piece that a long series is cut into: ten minutes at 80 ms.
+PIECE = 7_500
+
+
+def islands(frames: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds a number that consecutive frames of the keys share: the frame less its place among the frames."""
+    order = placed(frames, keys, F.floor(F.col("frame") / PIECE), ["frame"], name)
+    return order.withColumn(name, F.col("frame") - F.col(name))
+
+
 def runs(frames: DataFrame, keys: list[str], on: str) -> DataFrame:
     """Runs of consecutive frames with equal ``on``: keys, on, first frame, number of frames."""
-    w = Window.partitionBy(*keys, on).orderBy("frame")
-    marked = frames.withColumn("_island", F.col("frame") - F.row_number().over(w))
+    marked = islands(frames, [*keys, on], "_island")
     return marked.groupBy(*keys, on, "_island").agg(F.min("frame").alias("frame"), F.count(F.lit(1)).alias("n_frames")).drop("_island")
 
 

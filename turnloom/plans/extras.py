@@ -19,6 +19,7 @@ from turnloom.operators import numerics as nu
 from turnloom.operators import synthetic as sy
 from turnloom.operators import timeline as tl
 from turnloom.operators import validation as va
+from turnloom.operators.running import placed
 from turnloom.plans import compare as cp
 from turnloom.plans import views as v
 from turnloom.plans.annotation import _COUNTS, _alpha
@@ -75,14 +76,13 @@ def flt_05_finite(spark, d):
 
 @query(sql("turns", " select session_id, speaker, start_ms, end_ms, row_number() over (partition by session_id order by start_ms, end_ms, speaker) as place from turns"))
 def srt_01_order(spark, d):
-    w = Window.partitionBy("session_id").orderBy("start_ms", "end_ms", "speaker")
-    return v.turns(spark, d).withColumn("place", F.row_number().over(w))
+    return placed(v.turns(spark, d), ["session_id"], F.floor(F.col("start_ms") / iv.SLICE_MS), ["start_ms", "end_ms", "speaker"], "place")
 
 
 @query(sql("frames", " select session_id, signal_name, frame, row_number() over (partition by session_id, signal_name order by value desc, frame) as rank from frames"))
 def srt_02_stable_rank(spark, d):
-    w = Window.partitionBy("session_id", "signal_name").orderBy(F.desc("value"), "frame")
-    return v.frames(spark, d).select("session_id", "signal_name", "frame", F.row_number().over(w).alias("rank"))
+    ranked = placed(v.frames(spark, d), ["session_id", "signal_name"], F.floor(-F.col("value") / mt.STEP), [F.desc("value"), "frame"], "rank")
+    return ranked.select("session_id", "signal_name", "frame", "rank")
 
 
 @query(f"select {v._ID} as session_id from chunk_signals except select {v._ID} from turn_events")
@@ -169,9 +169,8 @@ def win_14_activity_bins(spark, d):
     f = v.frames(spark, d).where("signal_name = 'surprise'").select("session_id", "frame", "value")
     a = iv.interval_frames(v.turns(spark, d), ["session_id"], 80).withColumn("active", F.lit(True))
     j = f.join(a, ["session_id", "frame"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
-    g = F.col("frame") - F.row_number().over(Window.partitionBy("session_id", "active").orderBy("frame"))
-    w = Window.partitionBy("session_id", "active", "g")
-    r = j.withColumn("g", g).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy("frame")))
+    w = Window.partitionBy("session_id", "active", "g")  # one run
+    r = tl.islands(j, ["session_id", "active"], "g").withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy("frame")))
     name = F.when(F.col("active"), "active").when((F.col("i") <= 3) | (F.col("n") - F.col("i") < 3), "near edge").when(F.col("n") >= 25, "long silence").otherwise("silence")
     return r.groupBy(name.alias("bin")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 

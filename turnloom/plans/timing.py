@@ -411,11 +411,8 @@ r as (select session_id, signal_name, count(*) as n, avg(value) as mean, var_pop
 select session_id, count(*) as n_long_runs, round(avg(var), 6) as long_var_mean, bool_or(var < 1e-8 or (mean < 1e-4 and sqrt(var) < 1e-6)) as collapsed from r group by all"""))
 def agg_32_silence_runs(spark, d):
     """Runs of at least 2 s below a level: variance and collapse."""
-    from pyspark.sql import Window
-
     m = v.frames(spark, d).where("value <= 0.8")
-    k = F.col("frame") - F.row_number().over(Window.partitionBy("session_id", "signal_name").orderBy("frame"))
-    r = m.withColumn("k", k).groupBy("session_id", "signal_name", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var")).where("n >= 25")
+    r = tl.islands(m, ["session_id", "signal_name"], "k").groupBy("session_id", "signal_name", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var")).where("n >= 25")
     out = mt.silence_runs(r, ["session_id"])
     return out.select("session_id", "n_long_runs", F.round("long_var_mean", 6).alias("long_var_mean"), "collapsed")
 
