@@ -195,9 +195,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_short_by_bytes(spark: SparkSession, folder: str) -> DataFrame:
-    """The mixture with sizes in bytes instead of tokens, which SQL can follow: tokens, whether a source falls short, what it is used for if so."""
+    """The mixture with sizes in bytes instead of tokens, which SQL can follow: bytes, whether a source falls short, how much of it is used if so (else 0)."""
     report = mix_to_targets(_bytes(spark, folder), table(spark, folder, "mix_targets"))[1]
-    return report.select("source", F.col("tokens").alias("n_bytes"), "falls_short", F.when(F.col("falls_short"), F.col("used_tokens")).alias("used_bytes"))
+    return report.select("source", F.col("tokens").alias("n_bytes"), "falls_short", F.when(F.col("falls_short"), F.col("used_tokens")).otherwise(0).alias("used_bytes"))
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -342,7 +342,7 @@ from documents where strlen(text) > 2048""",
 with d as (select lower(trim(source)) as source, coalesce(strlen(text), 0) as n from documents), t as (select sum(n) as total from d),
 s as (select source, sum(n) as n from d group by source)
 select m.source, cast(coalesce(n, 0) as bigint) as n_bytes, coalesce(n, 0) * max_repeats * 10000 < target_bp * total as falls_short,
-  cast(case when coalesce(n, 0) * max_repeats * 10000 < target_bp * total then coalesce(n, 0) * max_repeats end as bigint) as used_bytes
+  cast(case when coalesce(n, 0) * max_repeats * 10000 < target_bp * total then coalesce(n, 0) * max_repeats else 0 end as bigint) as used_bytes
 from (select lower(trim(source)) as source, target_bp, max_repeats from mix_targets) m left join s using (source), t""",
     "p5_found": _turns_sql(),
 }
