@@ -18,7 +18,7 @@ def test_ids_kinds_and_rounding(spark):
     assert [one(spark, event_kind(F.lit(k))) for k in ("Turn Shift", "BC", "overlap", "??")] == ["turn_shift", "backchannel", "barge_in", None]
     assert [one(spark, half_up(F.lit(x))) for x in (0.5, 12.5, 2.49)] == [1, 13, 2]
     assert [one(spark, half_even(F.lit(x))) for x in (0.5, 1.5, 2.5)] == [0, 2, 2]
-    assert [one(spark, to_ms(F.lit(x).cast("double"))) for x in (1.2346, float("nan"), float("inf"), None, 1e12)] == [1235, None, None, None, None]
+    assert [one(spark, to_ms(F.lit(x).cast("double"))) for x in (1.2346, float("nan"), float("inf"), None, 1e12, 1e13)] == [1235, None, None, None, 1_000_000_000_000_000, None]
     assert [one(spark, bucket(F.lit(x), [1.0, 3.0])) for x in (0.5, 1.0, 3.0)] == [0, 1, 2]
 
 
