@@ -1,9 +1,12 @@
 import io
 import json
 
+import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
+from turnloom.plans import models
 from turnloom.sources import readers as rd
 from turnloom.sources import writers as wr
 
@@ -42,6 +45,21 @@ def test_csv_folder(spark, tmp_path):
     assert got == [("abc-uuid", "u", 0.0, 1.0, "hey"), ("q", "u", 15.0, 20.0, "a"), ("q", "v", 20.0, 35.0, "b")]
 
 
+def test_csv_of_many_sessions(spark, tmp_path, monkeypatch):
+    ids = ["007", "2021-01-02", "", " a ", 'q"\\', "x\ny,z", "candor_s", "dc_candor_s", *[f"s{i}" for i in range(300)]]
+    turns = [(i, "User", x, 1.5, 3.25) for i, x in enumerate(ids)] + [(900, None, "s1", 9.5, 10.0), (901, "user", "s2", 0.001, 0.002), (902, "user", None, 0.0, 1.0)]
+    turns += [(903, "user", "short", 1.0, 2.0)] + [(904 + i, "a", x, 20.0, 20.5) for i, x in enumerate(ids)]
+    df = spark.createDataFrame(turns, "turn_id bigint, speaker string, session_id string, start_s double, end_s double")
+    df.write.parquet(str(tmp_path / "transcript_turns.parquet"))
+    monkeypatch.setattr(models, "place", lambda spark, name: str(tmp_path / name))
+    got = sorted(tuple(r) for r in entry.queries()["src_06_transcript_csv"](spark, str(tmp_path)).select("session_id", "speaker", "start_s", "end_s").collect())
+    c = duckdb.connect()
+    c.execute(f"create view transcript_turns as select * from '{tmp_path}/transcript_turns.parquet/*.parquet'")
+    want = sorted(c.execute(f"select session_id, speaker, start_s, end_s from ({entry.oracle_sql()['src_06_transcript_csv']})").fetchall())
+    assert got == want and {"007", "2021-01-02", "", " a ", "s", "candor_s"} <= {r[0] for r in got}
+    assert len(list((tmp_path / "csv").rglob("*.csv"))) <= 20  # a file for each session before
+
+
 def test_series(spark, tmp_path):
     rec = {"session_id": "s", "audio_nll_per_step": [1.25, 0.5], "p_now": [0.25, 0.75], "audio_nll": 0.9, "duration_s": 7.5}
     df = rd.json_records(spark, put(tmp_path / "s.jsonl", json.dumps(rec)))

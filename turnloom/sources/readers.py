@@ -129,12 +129,16 @@ def seconds(turns: DataFrame, file: str = "session_id") -> DataFrame:
     return turns.withColumn("_k", scale).withColumn("start_s", F.col("start_s") / F.col("_k")).withColumn("end_s", F.col("end_s") / F.col("_k")).drop("_k")
 
 
-def transcript_csvs(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """Turns of all CSV files below a folder (or of one file); the session is the file's name. Headers are trimmed."""
+def transcript_csvs(spark: SparkSession, path: str, glob: str = "*.csv", session: str | None = None) -> DataFrame:
+    """Turns of all CSV files below a folder (or of one file). Headers are trimmed.
+
+    The session is the file's name, or the column ``session`` of files that hold several (as it stands there, blank too). Milliseconds
+    are told from seconds session by session.
+    """
     df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("encoding", "UTF-8").option("escape", '"').option("multiLine", True).csv(path)
     df = df.select("*", session_from_file(F.col("_metadata.file_name")).alias("_file"))
     df = df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
-    rows = df.select(*_turns(F.col("_file"), None, T.NullType(), df)).dropna(subset=["start_s", "end_s"])
+    rows = df.select(*_turns(F.coalesce(F.col(session), F.lit("")) if session else F.col("_file"), None, T.NullType(), df)).dropna(subset=["start_s", "end_s"])
     return seconds(rows)
 
 

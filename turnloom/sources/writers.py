@@ -25,6 +25,16 @@ def nested_series(frames: DataFrame, value: str, out: str, keys: list[str] | Non
     return frames.groupBy(*keys).agg(ordered.alias(out))
 
 
+#: Rows of a CSV file at most: a file whose values may hold line ends is read by one task.
+FILE_ROWS = 1_000_000
+
+
+def csv_files(df: DataFrame, path: str) -> None:
+    """CSV files with a header, every value quoted and kept as it is; as many files as tasks, more only beyond ``FILE_ROWS``."""
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quoteAll": True, "escape": '"'}
+    df.write.options(header=True, maxRecordsPerFile=FILE_ROWS, **whole).csv(path)
+
+
 def save_arrays(series: DataFrame, folder: str) -> int:
     """A .npy file with one column per row of ``series`` (name, values), written by the tasks; returns the number of files.
 
