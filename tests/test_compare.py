@@ -55,3 +55,40 @@ def test_every_signal_and_every_pair(spark, tiny):
     assert labelled.count() == f.join(v.spans(spark, tiny), "session_id").where("t_end_ms + 500 <= duration_ms").select("session_id").distinct().count()
     assert {r["pair"] for r in q["compare_report"](spark, tiny).select("pair").distinct().collect()} == {"/".join(p) for p in cp.pairs(f)}
     assert len(cp.pairs(f)) > 1
+
+
+def _flat(df):
+    return {(r["pair"], r["signal_name"], r["kind"], r["horizon_ms"]): [r["auroc"], r["ap"], r["n_sessions"], *(r["auroc_ci"] or [None, None])] for r in df.collect()}
+
+
+def test_report_of_all_pairs_at_once_is_that_of_each_pair(spark):
+    s = sy.salient_frames(spark, 5)
+    rounded = F.round(F.col("random"), 1)  # many ties, some below zero
+    values = F.create_map(F.lit("a"), F.col("salience"), F.lit("b"), rounded, F.lit("c"), -rounded, F.lit("d"), F.lit(0.5))
+    long = s.select("session_id", "frame", F.explode(values).alias("signal_name", "value"))
+    long = long.where("not (signal_name = 'b' and frame % 7 = 0) and not (signal_name = 'c' and session_id like '%0') and not (signal_name = 'd' and session_id not like '%1')")
+    events, kinds = sy.events(spark, 5), EVENT_KINDS[:2]
+    ends = long.groupBy("session_id").agg(((F.max("frame") + 1) * 80).alias("duration_ms"))
+    repeated = long.unionByName(long.where("frame % 5 = 0").withColumn("value", F.col("value") - 1))
+    settings = {"kinds": kinds, "horizons_ms": [500, 2000]}
+    got = _flat(cp.report(repeated, events, 20, **settings))
+    split = _flat(cp.report(repeated, events, 20, whole=50, **settings))
+    found = cp.pairs(long)
+    assert len(found) == 6
+    for pair in found[:3] + found[-1:]:
+        what = cp.Compare(list(pair), replicates=20, **settings)
+        want = _flat(cp.summary(cp.rows(long, events, ends, what), what).withColumn("pair", F.lit("/".join(pair))))
+        assert want and {k for k in got if k[0] == "/".join(pair)} == set(want)
+        for k, v in want.items():
+            assert got[k] == pytest.approx(v) and split[k] == pytest.approx(v)
+
+
+def test_report_without_pairs_or_rows(spark):
+    s = sy.salient_frames(spark, 2).select("session_id", "frame", F.col("random").alias("value"), F.lit("a").alias("signal_name"))
+    assert cp.report(s, sy.events(spark, 2), 5).count() == 0
+    assert cp.report(s.limit(0), sy.events(spark, 2), 5).count() == 0
+
+
+def test_report_has_one_plan_for_all_pairs(spark, tiny):
+    plan = entry.queries()["compare_report"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 12  # 9; a part for each of three pairs made it 15

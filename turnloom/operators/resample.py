@@ -23,10 +23,15 @@ def numbered(units: DataFrame, key: str, groups: list[str] | None = None) -> Dat
     return units.withColumn("u", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(everyone))
 
 
+def draw_hash(seed: int) -> Column:
+    """60 bits of sha256 of draw ``i`` of replicate ``b``."""
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("b"), F.col("i")), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def drawn(seed: int) -> Column:
     """Place of draw ``i`` of replicate ``b``: 60 bits of sha256 modulo n."""
-    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("b"), F.col("i")), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % F.col("n")
+    return draw_hash(seed) % F.col("n")
 
 
 def replicates(units: DataFrame, replicates: int, seed: int, groups: list[str] | None = None) -> DataFrame:
@@ -47,6 +52,22 @@ def bootstrap(units: DataFrame, key: str, sums: list[str], statistic: Column, n:
     return g.select(*groups, "b", statistic.alias("value"))
 
 
+def bootstrap_alike(units: DataFrame, key: str, sums: list[str], statistic: Column, n: int, seed: int, groups: list[str], most: int) -> DataFrame:
+    """The values of ``bootstrap`` for many groups: draws are hashed once for all and counted once for groups of one size.
+
+    ``most``: no group has more units.
+    """
+    placed = numbered(units, key, groups)
+    most = max(most, 1)
+    ids = units.sparkSession.range(n * most).select(F.expr(f"cast(id div {most} as int)").alias("b"), F.expr(f"id % {most}").alias("i"))
+    hashed = ids.select("b", "i", draw_hash(seed).alias("_h"))
+    draws = hashed.join(placed.select("n").distinct(), F.col("i") < F.col("n")).select("n", "b", (F.col("_h") % F.col("n")).alias("u"))
+    times = draws.repartition("n", "u").groupBy("n", "u", "b").agg(F.count(F.lit(1)).alias("times"))
+    j = times.join(placed.select(*groups, "n", "u", *sums), ["n", "u"])
+    g = j.groupBy(*groups, "b").agg(*[F.sum(F.col(s) * F.col("times")).alias(s) for s in sums])
+    return g.select(*groups, "b", statistic.alias("value"))
+
+
 #: P(Poisson(1) <= k) for k = 0, 1, ...
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 

@@ -25,7 +25,7 @@ from turnloom.plans import views as v
 from turnloom.plans.annotation import _COUNTS, _alpha
 from turnloom.plans.timing import _EPISODES
 from turnloom.plans.views import sql
-from turnloom.runtime import drop, place, spill, table
+from turnloom.runtime import place, table
 from turnloom.sources import readers as rd
 from turnloom.sources import writers as wr
 
@@ -289,14 +289,7 @@ def agg_38_recomputed(spark, d):
 @query()
 def compare_report(spark, d):
     """The whole comparison: common frames of every pair of signals, AUROC and AP per session, means and intervals (SNK-01)."""
-    f = spill(v.frames(spark, d), "frames")  # every pair reads it
-    out = None
-    for a, b in cp.pairs(f) or [("audio_nll", "surprise")]:  # without a pair the report is empty
-        what = cp.Compare([a, b], replicates=100)
-        part = cp.summary(cp.rows(f, v.events(spark, d), v.spans(spark, d), what), what).withColumn("pair", F.lit(f"{a}/{b}"))
-        out = part if out is None else out.unionByName(part)
-    drop(f)
-    return out
+    return cp.report(v.points(spark, d), v.events(spark, d), replicates=100)
 
 
 @query()

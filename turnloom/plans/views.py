@@ -26,10 +26,15 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return t.dropna().distinct()
 
 
+def points(spark: SparkSession, folder: str) -> DataFrame:
+    """Usable points of the series, repeats too."""
+    t = table(spark, folder, "chunk_signals").select(norm_session("session_id").alias("session_id"), "signal_name", F.col("frame_idx").cast("bigint").alias("frame"), finite("signal_value").alias("value"))
+    return t.dropna()
+
+
 def frames(spark: SparkSession, folder: str) -> DataFrame:
     """Usable points of the series on the nominal 80 ms grid."""
-    t = table(spark, folder, "chunk_signals").select(norm_session("session_id").alias("session_id"), "signal_name", F.col("frame_idx").cast("bigint").alias("frame"), finite("signal_value").alias("value"))
-    t = t.dropna().groupBy("session_id", "signal_name", "frame").agg(F.max("value").alias("value"))
+    t = points(spark, folder).groupBy("session_id", "signal_name", "frame").agg(F.max("value").alias("value"))
     return t.withColumn("t_end_ms", (F.col("frame") + 1) * 80)
 
 
